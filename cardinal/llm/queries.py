@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardinal.llm import bpe, chat, licenses, quality, secrets
+from cardinal.llm import bpe, chat, html_text, licenses, quality, secrets
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -19,6 +19,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_html_text": op4_html_text,
     "op5_quality_rules": op5_quality_rules,
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
