@@ -97,6 +97,8 @@ LABELLED = """
 150 0.1 1 1.0 3 0.0 0 0 0 1
 25 0.0 3 0.0 2 0.0 0 0 0 1
 200 0.0 0 0.0 0 0.0 0 0 0 1
+120 0.0 80 0.0 1 1.0 0 0 0 1
+45 0.05 60 0.0 3 1.0 0 0 0 1
 5 1.0 4 1.0 3 1.0 0 0 0 0
 9 0.9 3 1.0 60 0.0 0 0 0 0
 2 1.0 0 0.0 1 1.0 0 0 0 0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardinal.llm import bpe, chat, html_text, licenses, quality, secrets
+from cardinal.llm import bpe, chat, html_text, licenses, ngram_join, quality, secrets
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -27,6 +27,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_html_text": op4_html_text,
     "op5_quality_rules": op5_quality_rules,
+    "op7_ngram_join": op7_ngram_join,
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_license_scan": op10_license_scan,
