@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardinal.llm import bpe, chat, html_text, licenses, ngram_join, quality, secrets, suffix_dedup
+from cardinal.llm import ann, bpe, chat, html_text, licenses, ngram_join, quality, secrets, suffix_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,6 +23,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: F.col(vec_id) % 100 == 0)
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -55,6 +59,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_ann": op3_ann,
     "op4_html_text": op4_html_text,
     "op5_quality_rules": op5_quality_rules,
     "op7_ngram_join": op7_ngram_join,
