@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardinal.llm import ann, bpe, chat, html_text, licenses, ngram_join, quality, secrets, suffix_dedup
+from cardinal.llm import ann, bpe, chat, html_text, licenses, mixing, ngram_join, quality, secrets, suffix_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -35,6 +35,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.probabilities(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_ann": op3_ann,
     "op4_html_text": op4_html_text,
     "op5_quality_rules": op5_quality_rules,
+    "op6_mix_sources": op6_mix_sources,
     "op7_ngram_join": op7_ngram_join,
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
