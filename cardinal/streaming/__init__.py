@@ -1,0 +1 @@
+"""Clustering with required sizes has no streaming operators: sizes are counted over whole datasets."""
