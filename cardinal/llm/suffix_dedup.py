@@ -125,25 +125,38 @@ def shared_anchors(rows: DataFrame, length: int, hot_documents: int) -> DataFram
         anchor, ids, h = anchor[several], ids[several], h[several]
         if not len(anchor):
             return
+        part = (mix(ids.view(np.uint64) + _U(29)) >> _U(32)) * _U(parts) >> _U(32)
+        packed_out = _split(part.astype(np.int64), {"anchors": anchor, "hot": hot, "ids": ids, "h": h})
+        yield pa.RecordBatch.from_arrays([pa.array(packed_out["part"]), *(pa.array(packed_out[c], pa.binary()) for c in ("anchors", "hot", "ids", "h"))], ["part", "anchors", "hot", "ids", "h"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed: list[list] = [[], [], [], []]
+        for batch in batches:
+            for k, kind in enumerate((np.uint64, bool, np.int64, np.int64)):
+                packed[k] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)]
+        if not packed[0]:
+            return
+        anchor, hot, ids, h = (np.concatenate(x) for x in packed)
+        packed.clear()
         order = np.lexsort((h, ids))
-        anchor, ids, h, hot = anchor[order], ids[order], h[order], hot[order]
+        anchor, hot, ids, h = anchor[order], hot[order], ids[order], h[order]
         cuts = np.append(np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (h[1:] != h[:-1]))), len(ids))
         for at in range(0, len(cuts) - 1, 4096):
-            spans = list(zip(cuts[at : at + 4097][:-1], cuts[at : at + 4097][1:], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[cuts[at : at + len(spans)]]), pa.array(h[cuts[at : at + len(spans)]]), pa.array([anchor[a:b][~hot[a:b]].tobytes() for a, b in spans], pa.binary()), pa.array([anchor[a:b][hot[a:b]].tobytes() for a, b in spans], pa.binary())],
-                ["id", "h", "anchors", "hot"],
-            )
+            ends = cuts[at : at + 4097]
+            spans = list(zip(ends[:-1], ends[1:], strict=True))
+            plain, often = ([anchor[a:b][hot[a:b] == want].tobytes() for a, b in spans] for want in (False, True))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ends[:-1]]), pa.array(h[ends[:-1]]), pa.array(plain, pa.binary()), pa.array(often, pa.binary())], ["id", "h", "anchors", "hot"])
 
     dealt = map_batches(rows, emit, "part bigint, anchors binary, ids binary, h binary").repartition(parts, "part")
-    return dealt.select("anchors", "ids", "h").mapInArrow(meet, "id bigint, h bigint, anchors binary, hot binary")
+    met = dealt.select("anchors", "ids", "h").mapInArrow(meet, "part bigint, anchors binary, hot binary, ids binary, h binary").repartition(parts, "part")
+    return met.select("anchors", "hot", "ids", "h").mapInArrow(gather, "id bigint, h bigint, anchors binary, hot binary")
 
 
 def _flagged(column: pa.Array, first: int, end: int) -> np.ndarray:
-    """Keys of (row, anchor) for lists of packed anchors."""
+    """Keys of (row, anchor) for packed anchors."""
     out = []
-    for row, blobs in enumerate(column.slice(first, end - first).to_pylist()):
-        own = np.frombuffer(b"".join(blobs or []), np.uint64)
+    for row, blob in enumerate(column.slice(first, end - first).to_pylist()):
+        own = np.frombuffer(blob, np.uint64)
         out.append(mix(own ^ mix(np.full(len(own), row, np.uint64) + _U(17))))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -271,8 +284,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = checkpoint(copies.withColumn("copy", F.lit(True)))
 
     long = rows.where(f"id is not null and octet_length(text) >= {length}")
-    shared = shared_anchors(long, length, hot_documents).groupBy("id", "h").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("hot").alias("hot"))
-    shared = staged(shared.join(copies, ["id", "h"], "left_anti"))
+    shared = staged(shared_anchors(long, length, hot_documents).join(copies, ["id", "h"], "left_anti"))
     release(docs.sparkSession)
     cut = staged(segments(long.join(shared, ["id", "h"]).select("id", "h", "text", "anchors", "hot"), length))
     release(docs.sparkSession)
