@@ -7,11 +7,12 @@ bytes; strings never cross documents and are judged on the input.
 2. Each window of `length` bytes has an anchor: the 24-byte gram in it with the least hash. Equal windows have equal
    anchors, so anchors that occur in one class only can't hold a repeat. Anchor hashes are dealt out, packed, to find
    those that several classes share.
-3. Runs of windows with the same shared anchor are cut out as segments and dealt out by anchor, so that all equal windows
-   meet in one shard (an anchor of very many documents is dealt out window by window instead). Each shard's suffix array
-   is built by induced sorting; permuted common prefixes of `length` bytes split it into groups of equal windows, and
-   each group gives its least id.
-4. The verdicts go back to the segments' documents by a join, and each text is cut.
+3. Runs of windows with the same shared anchor are cut out as segments and dealt out by anchor, packed, so that all equal
+   windows meet in one shard. Each shard's suffix array is built by induced sorting; permuted common prefixes of `length`
+   bytes split it into groups of equal windows, and each group gives its least id, hence the windows to be removed.
+4. An anchor that HOT_DOCUMENTS documents have is not put into one shard: the least ids of its windows come from an
+   aggregation by 128-bit window hash, with partial sums before the shuffle.
+5. The removed windows go back to their documents, and each text is cut.
 
 Edge cases: null or empty texts have no bytes; rows with a null id are kept whole and remove nothing; rows with equal ids
 don't remove bytes of each other; repeated rows give repeated results; other columns are ignored.
@@ -36,7 +37,7 @@ GRAM = 24
 #: Windows of a segment; one bit of a verdict for each.
 MOST_WINDOWS = 48
 SHARD_BYTES = 4 << 20
-#: Anchors that a task finds in more documents than this are dealt out window by window.
+#: Anchors that more documents than this have are aggregated window by window.
 HOT_DOCUMENTS = 20_000
 
 _U = np.uint64
@@ -161,122 +162,198 @@ def _flagged(column: pa.Array, first: int, end: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def segments(rows: DataFrame, length: int) -> DataFrame:
-    """(anchor, key, id, h, start, windows, segment) for each run with a shared anchor; of equal segments in a slice only the one with the least id has its bytes."""
+def _flagged_runs(batch: pa.RecordBatch, length: int, column: int) -> Iterator[tuple]:
+    """Per slice: (ids, h, offsets, bytes, document, anchor, start, windows, prefix sums) of the runs whose anchor is in the column."""
+    for first, end, raw, offsets in text_slices(batch.column(2)):
+        flagged = _flagged(batch.column(column), first, end)
+        if not len(flagged):
+            continue
+        ids, h = (batch.column(k).slice(first, end - first).to_numpy(zero_copy_only=False) for k in (0, 1))
+        doc, anchor, start, count, sums = anchor_runs(raw, offsets, length)
+        at = np.flatnonzero(np.isin(mix(anchor ^ mix(doc.astype(np.uint64) + _U(17))), flagged))
+        if len(at):
+            yield ids, h, offsets, raw, doc[at], anchor[at], start[at], count[at], sums
+
+
+def _bodies(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """raw[start:start + size] of all, one after another."""
+    return raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
-    def kernel(batch):
-        for first, end, raw, offsets in text_slices(batch.column(2)):
-            ids, h = (batch.column(k).slice(first, end - first).to_numpy(zero_copy_only=False) for k in (0, 1))
-            doc, anchor, start, count, sums = anchor_runs(raw, offsets, length)
-            keyed = mix(anchor ^ mix(doc.astype(np.uint64) + _U(17)))
-            plain = np.isin(keyed, _flagged(batch.column(3), first, end))
-            hot = np.isin(keyed, _flagged(batch.column(4), first, end))
-            size = count[hot]
-            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            single = np.repeat(start[hot], size) + step
-            doc = np.concatenate((doc[plain], np.repeat(doc[hot], size)))
-            start = np.concatenate((start[plain], single))
-            count = np.concatenate((count[plain], np.ones(len(single), np.int64)))
-            anchor = np.concatenate((anchor[plain], segment_hashes(sums, single, single + length)))
-            if not len(doc):
-                continue
-            key = mix(segment_hashes(sums, start, start + count + length - 1) + _U(5))
-            order = np.lexsort((ids[doc], key))
-            doc, start, count, anchor, key = doc[order], start[order], count[order], anchor[order], key[order]
-            seen = np.append(False, (key[1:] == key[:-1]) & (anchor[1:] == anchor[:-1]))
-            body = raw.tobytes()
-            cut = [None if s else body[a : a + c + length - 1] for s, a, c in zip(seen.tolist(), start.tolist(), count.tolist(), strict=True)]
-            for at in range(0, len(doc), 1 << 15):
-                part = slice(at, at + (1 << 15))
-                yield {"anchor": anchor[part].view(np.int64), "key": key[part].view(np.int64), "id": ids[doc[part]], "h": h[doc[part]], "start": start[part] - offsets[doc[part]], "windows": count[part], "segment": cut[part]}
-
-    return map_batches(rows, kernel, "anchor bigint, key bigint, id bigint, h bigint, start bigint, windows int, segment binary")
-
-
-def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each window of each text, the least id of the texts that hold the same window."""
-    sizes = np.array([len(t) + 1 for t in texts])
-    raw = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
-    begin = np.cumsum(sizes) - sizes
-    letters = raw.astype(np.uint16) + 1
-    letters[begin + sizes - 1] = 0
-    order = suffix_array(letters, 257)
-    shared = shares_prefix(raw, order, length)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    whole = np.arange(len(raw)) + length < (begin + sizes)[owner]
-    order = order[whole[order]]
-    out = np.zeros(len(raw), np.int64)
-    if len(order):
-        first = np.flatnonzero(~shared[order] | (np.arange(len(order)) == 0))
-        least = np.minimum.reduceat(ids[owner[order]], first)
-        out[order] = np.repeat(least, np.diff(np.append(first, len(order))))
-    return [out[a : a + s - length] for a, s in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
+def _first_of(anchor: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return np.append(True, (key[1:] != key[:-1]) | (anchor[1:] != anchor[:-1]))
 
-def verdicts(cut: DataFrame, length: int) -> DataFrame:
-    """(anchor, key, least): for each different segment, the packed least ids of its windows."""
-    parts = shuffle_partitions(cut.sparkSession)
-    dealt = cut.where("segment is not null").select("anchor", "key", "id", "segment").repartition(parts, "anchor").sortWithinPartitions("anchor", "key", "id")
 
-    def shard(rows: list[tuple]) -> pa.RecordBatch:
-        found = least_ids([r[3] for r in rows], np.array([r[2] for r in rows], np.int64), length)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["anchor", "key", "least"])
+def resolved(rows: DataFrame, length: int) -> DataFrame:
+    """(id, h, starts, bits): packed window starts and bits of the runs that a smaller id has too. Segments go to their shard packed; of equal ones in a slice only one has its bytes."""
+    parts = shuffle_partitions(rows.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, last = 0, None
+    def emit(batch):
+        for ids, h, offsets, raw, doc, anchor, start, count, sums in _flagged_runs(batch, length, 3):
+            key = mix(segment_hashes(sums, start, start + count + length - 1) + _U(5))
+            part = ((mix(anchor + _U(3)) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+            order = np.lexsort((ids[doc], key, anchor, part))
+            doc, anchor, start, count, key, part = (x[order] for x in (doc, anchor, start, count, key, part))
+            first = _first_of(anchor, key)
+            out = _split(part, {"anchors": anchor, "keys": key, "ids": ids[doc].astype(np.int64), "h": h[doc].astype(np.int64), "starts": (start - offsets[doc]).astype(np.int32), "windows": count.astype(np.uint8)})
+            cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+            out["bytes"] = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                at = np.arange(a, b)[first[a:b]]
+                out["bytes"].append(_bodies(raw, start[at], count[at] + length - 1).tobytes())
+            yield out
+
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8)
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed: list[list] = [[] for _ in kinds]
+        bodies, where, base = [], [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last == row[:2]:
-                    continue  # the same segment with a larger id
-                if size >= SHARD_BYTES and last is not None and last[0] != row[0]:
-                    yield shard(rows)
-                    rows, size = [], 0
-                last = row[:2]
-                rows.append(row)
-                size += len(row[3]) + 1
-        if rows:
-            yield shard(rows)
+            for row in range(len(batch)):
+                own = [np.frombuffer(batch.column(k)[row].as_buffer(), kind) for k, kind in enumerate(kinds)]
+                size = np.where(_first_of(own[0], own[1]), own[5].astype(np.int64) + length - 1, 0)
+                ends = np.cumsum(size)
+                where.append(np.where(size > 0, base + ends - size, -1))
+                base += int(ends[-1])
+                bodies.append(np.frombuffer(batch.column(6)[row].as_buffer(), np.uint8))
+                for x, y in zip(packed, own, strict=True):
+                    x.append(y)
+        if not bodies:
+            return
+        anchor, key, ids, h, starts, count = (np.concatenate(x) for x in packed)
+        packed.clear()
+        body, where = np.concatenate(bodies), np.concatenate(where)
+        bodies.clear()
+        order = np.lexsort((where < 0, ids, key, anchor))  # of equal segments, the one with the least id comes first, and it has its bytes
+        anchor, key, ids, h, starts, count, where = (x[order] for x in (anchor, key, ids, h, starts, count, where))
+        first = np.flatnonzero(_first_of(anchor, key))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        size = count[first].astype(np.int64) + length - 1
+        reach = np.cumsum(size)
+        fresh = np.flatnonzero(np.append(True, anchor[first][1:] != anchor[first][:-1]))
+        at = 0
+        while at < len(first):
+            far = int(np.searchsorted(reach, (reach[at - 1] if at else 0) + SHARD_BYTES, "right"))
+            later = np.searchsorted(fresh, max(far, at + 1), "left")
+            until = int(fresh[later]) if later < len(fresh) else len(first)
+            least = flat_least_ids(_bodies(body, where[first[at:until]], size[at:until]), size[at:until], ids[first[at:until]], length)
+            begin = np.cumsum(size[at:until]) - size[at:until]
+            low, high = first[at], first[until] if until < len(first) else len(key)
+            bits = np.zeros(high - low, np.int64)
+            own = group[low:high] - at
+            for k in range(MOST_WINDOWS):
+                wide = np.flatnonzero(count[low:high] > k)
+                if not len(wide):
+                    break
+                gone = least[begin[own[wide]] + k] < ids[low:high][wide]
+                bits[wide[gone]] |= np.int64(1) << np.int64(k)
+            kept = np.flatnonzero(bits) + low
+            if len(kept):
+                part = ((mix(ids[kept].view(np.uint64) + _U(29)) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+                out = _split(part, {"ids": ids[kept], "h": h[kept], "starts": starts[kept], "bits": bits[kept - low]})
+                yield pa.RecordBatch.from_arrays([pa.array(out["part"]), *(pa.array(out[c], pa.binary()) for c in ("ids", "h", "starts", "bits"))], ["part", "ids", "h", "starts", "bits"])
+            at = until
 
-    return dealt.mapInArrow(run, "anchor bigint, key bigint, least binary")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed: list[list] = [[], [], [], []]
+        for batch in batches:
+            for k, kind in enumerate((np.int64, np.int64, np.int32, np.int64)):
+                packed[k] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)]
+        if packed[0]:
+            yield from _by_text(*(np.concatenate(x) for x in packed))
 
+    sent = map_batches(rows, emit, "part bigint, anchors binary, keys binary, ids binary, h binary, starts binary, windows binary, bytes binary").repartition(parts, "part")
+    met = sent.select("anchors", "keys", "ids", "h", "starts", "windows", "bytes").mapInArrow(shard, "part bigint, ids binary, h binary, starts binary, bits binary").repartition(parts, "part")
+    return met.select("ids", "h", "starts", "bits").mapInArrow(gather, "id bigint, h bigint, starts binary, bits binary")
 
-def removed_starts(cut: DataFrame, least: DataFrame) -> DataFrame:
-    """(id, h, starts): packed (start, bits) of the windows that a smaller id has too."""
+
+def _by_text(ids: np.ndarray, h: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each text, with its packed starts and bits."""
+    order = np.lexsort((starts, h, ids))
+    ids, h, starts, bits = ids[order], h[order], starts[order], bits[order]
+    cuts = np.append(np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (h[1:] != h[:-1]))), len(ids))
+    for at in range(0, len(cuts) - 1, 4096):
+        ends = cuts[at : at + 4097]
+        spans = list(zip(ends[:-1], ends[1:], strict=True))
+        blobs = [[x[a:b].tobytes() for a, b in spans] for x in (starts, bits)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[ends[:-1]]), pa.array(h[ends[:-1]]), *(pa.array(b, pa.binary()) for b in blobs)], ["id", "h", "starts", "bits"])
+
+
+def hot_windows(rows: DataFrame, length: int) -> DataFrame:
+    """(window, id, h, start) for each window of a hot anchor."""
+
+    def kernel(batch):
+        for ids, h, offsets, _, doc, _, start, count, sums in _flagged_runs(batch, length, 4):
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at, doc = np.repeat(start, count) + step, np.repeat(doc, count)
+            for k in range(0, len(at), 1 << 15):
+                a, d = at[k : k + (1 << 15)], doc[k : k + (1 << 15)]
+                yield {"window": segment_hashes(sums, a, a + length).view(np.int64), "check": mix(segment_hashes(sums, a, a + length // 2) + _U(9)).view(np.int64), "id": ids[d], "h": h[d], "start": a - offsets[d]}
+
+    return map_batches(rows, kernel, "window bigint, check bigint, id bigint, h bigint, start int")
+
+
+def resolved_hot(rows: DataFrame, length: int) -> DataFrame:
+    """The same as resolved() for hot anchors: the least id of each window is found by partial aggregation, so that no task sees all rows of a window."""
+    at = hot_windows(rows, length)
+    least = at.groupBy("window", "check").agg(F.min("id").alias("least"))
+    gone = at.join(least, ["window", "check"]).where("id > least").select("id", "h", "start")
+    packed = gone.groupBy("id", "h").agg(F.collect_list("start").alias("at"))
 
     def kernel(batch):
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(3)]
-        size = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(ids)), size)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        gone = flat < ids[row]
-        bits = np.zeros(len(ids), np.int64)
-        np.bitwise_or.at(bits, row[gone], np.int64(1) << place[gone])
-        at = np.flatnonzero(bits)
-        yield {"id": ids[at], "h": batch.column(1).to_numpy(zero_copy_only=False)[at], "start": batch.column(2).to_numpy(zero_copy_only=False)[at], "bits": bits[at]}
-
-    met = cut.select("anchor", "key", "id", "h", "start").join(least, ["anchor", "key"]).select("id", "h", "start", "least")
-    return map_batches(met, kernel, "id bigint, h bigint, start bigint, bits bigint").groupBy("id", "h").agg(F.collect_list(F.struct("start", "bits")).alias("starts"))
-
-
-def removed_runs(n: int, starts: list[dict] | None, copy: bool, length: int) -> list[tuple[int, int]]:
+        starts = [np.array(x, np.int32) for x in batch.column(2).to_pylist()]
+        yield {"id": batch.column(0), "h": batch.column(1), "starts": [x.tobytes() for x in starts], "bits": [np.ones(len(x), np.int64).tobytes() for x in starts]}
+
+    return map_batches(packed, kernel, "id bigint, h bigint, starts binary, bits binary")
+
+
+def flat_least_ids(body: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """For each byte of the texts (one after another, of the given sizes) at which a window starts: the least id of the texts that hold the same window."""
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(body)) + owner  # a separator follows each text
+    raw = np.full(len(body) + len(size), 0xFF, np.uint8)
+    raw[place] = body
+    letters = np.zeros(len(raw), np.uint16)
+    letters[place] = body.astype(np.uint16) + 1
+    order = suffix_array(letters, 257)
+    shared = shares_prefix(raw, order, length)
+    whole = np.zeros(len(raw), bool)
+    whole[place] = np.arange(len(body)) + length <= (begin + size)[owner]
+    text_of = np.zeros(len(raw), np.int64)
+    text_of[place] = owner
+    order = order[whole[order]]
+    out = np.zeros(len(raw), np.int64)
+    if len(order):
+        first = np.flatnonzero(~shared[order] | (np.arange(len(order)) == 0))
+        least = np.minimum.reduceat(ids[text_of[order]], first)
+        out[order] = np.repeat(least, np.diff(np.append(first, len(order))))
+    return out[place]
+
+
+def removed_runs(n: int, starts: bytes | None, bits: bytes | None, copy: bool, length: int) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes."""
     if copy:
         return [(0, n)] if n >= length else []
     if not starts:
         return []
-    at = np.array([x["start"] for x in starts], np.int64)
-    bits = np.array([x["bits"] for x in starts], np.int64)
-    window = np.unique(np.concatenate([at[(bits >> k) & 1 == 1] + k for k in range(MOST_WINDOWS)]))
+    at, bits = np.frombuffer(starts, np.int32).astype(np.int64), np.frombuffer(bits, np.int64)
+    row, window = np.nonzero((bits[:, None] >> np.arange(MOST_WINDOWS)) & 1)
+    window = np.unique(at[row] + window)
     first = np.flatnonzero(np.append(True, window[1:] > window[:-1] + length))
     last = np.append(first[1:] - 1, len(window) - 1)
     return list(zip(window[first].tolist(), (window[last] + length).tolist(), strict=True))
 
 
+def _merged(starts: DataFrame) -> DataFrame:
+    """One row for each text; there are two at most."""
+    both = starts.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("starts", "bits"))).alias("all"))
+    join = lambda c: F.reduce(F.transform("all", lambda x: x[c]), F.lit(b""), lambda a, b: F.concat(a, b))
+    return both.select("id", "h", join("starts").alias("starts"), join("bits").alias("bits"))
+
+
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
-    """(id, h, text, starts, copy) for each row, ready for removed_runs()."""
+    """(id, h, text, starts, bits, copy) for each row, ready for removed_runs()."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_column(text_col)).alias("h"), text_column(text_col).alias("text"))
     digests = checkpoint(rows.where("id is not null").select("id", "h", F.sha2("text", 256).alias("d")))
     least = digests.groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("n"))
@@ -286,11 +363,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long = rows.where(f"id is not null and octet_length(text) >= {length}")
     shared = staged(shared_anchors(long, length, hot_documents).join(copies, ["id", "h"], "left_anti"))
     release(docs.sparkSession)
-    cut = staged(segments(long.join(shared, ["id", "h"]).select("id", "h", "text", "anchors", "hot"), length))
-    release(docs.sparkSession)
-    starts = staged(removed_starts(cut, staged(verdicts(cut, length))))
+    flagged = long.join(shared, ["id", "h"]).select("id", "h", "text", "anchors", "hot")
+    starts = staged(resolved(flagged, length))
+    if not shared.where("octet_length(hot) > 0").isEmpty():
+        starts = starts.unionByName(staged(resolved_hot(flagged.where("octet_length(hot) > 0"), length)))
+        starts = _merged(starts)
     release(docs.sparkSession)
-    known = starts.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "h", F.lit(None).cast(starts.schema["starts"].dataType).alias("starts"), "copy"))
+    known = starts.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "h", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("bits"), "copy"))
     return rows.join(known, ["id", "h"], "left")
 
 
@@ -299,9 +378,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     def kernel(batch):
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
-        for text, starts, copy in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for text, starts, bits, copy in zip(batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
             raw = text.as_buffer().to_pybytes()
-            runs = removed_runs(len(raw), starts, bool(copy), length)
+            runs = removed_runs(len(raw), starts, bits, bool(copy), length)
             kept, at = hashlib.sha256(), 0
             for a, b in runs:
                 kept.update(raw[at:a])
@@ -311,7 +390,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 out[name].append(value)
         yield {id_col: batch.column(0), **out}
 
-    found = find_repeats(docs, id_col, text_col, length).select("id", "text", "starts", "copy")
+    found = find_repeats(docs, id_col, text_col, length).select("id", "text", "starts", "bits", "copy")
     return map_batches(found, kernel, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -320,13 +399,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def kernel(batch):
         texts = []
-        for text, starts, copy in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for text, starts, bits, copy in zip(batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
             raw, kept, at = text.as_buffer().to_pybytes(), [], 0
-            for a, b in removed_runs(len(raw), starts, bool(copy), length):
+            for a, b in removed_runs(len(raw), starts, bits, bool(copy), length):
                 kept.append(raw[at:a])
                 at = b
             texts.append(b"".join([*kept, raw[at:]]).decode("utf-8", "replace"))
         yield {id_col: batch.column(0), "text": texts}
 
-    found = find_repeats(docs, id_col, text_col, length).select("id", "text", "starts", "copy")
+    found = find_repeats(docs, id_col, text_col, length).select("id", "text", "starts", "bits", "copy")
     return map_batches(found, kernel, f"`{id_col}` bigint, text string")

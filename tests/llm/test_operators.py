@@ -135,7 +135,7 @@ def removal(rows: list[tuple[int, bytes]], length: int) -> dict[int, tuple]:
 def test_suffix_dedup_equals_brute_force(docs, hot):
     expected = removal([(i, (t or "").encode()) for i, t in enumerate(TEXTS)], 50)
     found = suffix_dedup.find_repeats(docs, hot_documents=hot)
-    got = {r["id"]: suffix_dedup.removed_runs(len(r["text"].encode()), [x.asDict() for x in r["starts"]] if r["starts"] else None, bool(r["copy"]), 50) for r in found.collect() if r["id"] is not None}
+    got = {r["id"]: suffix_dedup.removed_runs(len(r["text"].encode()), r["starts"], r["bits"], bool(r["copy"]), 50) for r in found.collect() if r["id"] is not None}
     assert {i: (sum(b - a for a, b in runs), len(runs)) for i, runs in got.items()} == {i: e[1:3] for i, e in expected.items()}
 
 
