@@ -125,12 +125,12 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
             if m.start() >= done:
                 work.append(_unescaped_whole(text, *m.span()))
                 done = work[-1][1]
-    seen = {text}
+    seen = set()
     while work:
         a, b, layer = work.pop()
-        if (layer, a) in seen:
+        if (layer, a, b) in seen:
             continue
-        seen.add((layer, a))
+        seen.add((layer, a, b))
         spans |= {(f"deep_{kind}", a, b) for kind, _, _ in base_spans(layer)}
         if _PEM.search(layer):
             spans.add(("deep_pem", a, b))
