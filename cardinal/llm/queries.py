@@ -72,4 +72,48 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {}
+
+_SPACE = r"[^\x20\x09-\x0D]"
+_QUALITY_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_SPACE}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACE}')) AS ls FROM d),
+u AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+tri AS (SELECT doc_id, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+dup AS (SELECT doc_id, i, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, a, b, c) > 1 AS x FROM tri),
+cov AS (SELECT doc_id, x OR coalesce(lag(x, 1) OVER o, false) OR coalesce(lag(x, 2) OVER o, false) AS y FROM dup WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, count(*) FILTER (WHERE y) AS n_repeat_words FROM cov GROUP BY doc_id),
+m AS (SELECT doc_id, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS BIGINT) AS lettered,
+  coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars BETWEEN 2 * n_words AND 25 * n_words AND 4 * n_symbols <= n_words AND 2 * n_dup_lines <= n_lines
+  AND length(regexp_replace(t, '[^A-Z]', '', 'g')) <= length(regexp_replace(t, '[^a-z]', '', 'g')) AND 10 * (n_words - lettered) <= 6 * n_words AS kept FROM b
+"""
+
+_ESCAPED = "replace(replace({0}, chr(92), chr(92) || chr(92)), '<|', chr(92) || 'l|')"
+_CHAT_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, chr(92) || '### Assistant: </turn> ok' FROM range(2) g(i)),
+l AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+  CAST(sum(17 + length(replace({_ESCAPED.format("role")}, chr(10), chr(92) || 'n')) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM l
+"""
+
+_PHRASES = ", ".join(f"('{p}', '{label}', {licenses.FREEDOM[label]}, {str(base).lower()})" for base, phrases in ((True, licenses.BASE_PHRASES), (False, licenses.MORE_PHRASES)) for p, label in phrases.items())
+#: SPDX tags need a parser and are left out here; the tables hold none, and tests cover them.
+_LICENSE_SQL = rf"""
+WITH p(phrase, label, freedom, base) AS (VALUES {_PHRASES}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) - 1 AS i FROM d),
+n AS (SELECT doc_id, i, concat_ws(' ', a, lead(a, 1) OVER o) AS two, concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o) AS four FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i FROM n WHERE two IN ('apache license', 'cc by', 'mit license') OR four = 'gnu general public license'),
+g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM h GROUP BY doc_id),
+f AS (SELECT doc_id, label, freedom, base FROM (SELECT doc_id, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM d) x, p WHERE contains(line, ' ' || phrase || ' ')),
+s AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, min(freedom) AS score FROM f GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN g USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op5_quality_rules": _QUALITY_SQL, "op9_chat_format": _CHAT_SQL, "op10_license_scan": _LICENSE_SQL}
