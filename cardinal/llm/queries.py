@@ -116,4 +116,32 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN g USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_quality_rules": _QUALITY_SQL, "op9_chat_format": _CHAT_SQL, "op10_license_scan": _LICENSE_SQL}
+_JOIN_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM d),
+s AS (SELECT DISTINCT doc_id, md5(sh) AS sh FROM u),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x AS doc_id, x AS other FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other),
+k AS (SELECT doc_id, min(other) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.c, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+_REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 100)) AS m FROM (SELECT doc_id, x, unnest(range(CAST(length(x) / 2 - 49 AS BIGINT))) AS p FROM d WHERE length(x) >= 100)),
+f AS (SELECT m, min(doc_id) AS least FROM w GROUP BY m),
+g AS (SELECT doc_id, p FROM w JOIN f USING (m) WHERE least < doc_id),
+o AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, true) AS fresh FROM g),
+q AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM o),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM q GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs
+  UNION ALL SELECT d.doc_id, coalesce(max(runs.b), 0), any_value(length(x)) // 2 FROM d LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS y FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(y)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_suffix_dedup": _REPEATS_SQL, "op5_quality_rules": _QUALITY_SQL, "op7_ngram_join": _JOIN_SQL, "op9_chat_format": _CHAT_SQL, "op10_license_scan": _LICENSE_SQL}
