@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from cardinal.llm.columnar import LOWER, map_batches, mix, prefix_sums, repeated, segment_hashes, shuffle_partitions, text_column, text_slices, word_bounds
 from cardinal.llm.components import checkpoint, connected_components
+from cardinal.llm.staging import release, staged
 
 #: Ratio of the largest to the smallest set size of a band.
 BAND_RATIO = 1.4
@@ -299,13 +300,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     shared = agreements(rows, words, percent).join(member.select("id", "rep"), "id").groupBy("key", "rep").agg(F.lit(1).alias("one"))
     shared = checkpoint(shared.select("key", "rep"))
+    release(docs.sparkSession)
     leads = shared.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
     pairs = checkpoint(shared.join(leads, "key").where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
 
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = checkpoint(token_sets(rows.join(needed, "id", "left_semi"), words))
+    sets = staged(token_sets(rows.join(needed, "id", "left_semi"), words))
+    release(docs.sparkSession)
     copies = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = checkpoint(verified(pairs, sets, percent))
+    release(docs.sparkSession)
     first = connected_components(links)
 
     # Blocks of three or more documents (two are tested already) that still hold several components.
@@ -323,5 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose id is the smallest of its component; rows with a null id stay."""
     found = near_duplicates(docs, id_col, text_col, words, percent)
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    gone = checkpoint(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct())
+    del found
+    release(docs.sparkSession)
     return docs.join(gone, id_col, "left_anti").select(docs.columns)
