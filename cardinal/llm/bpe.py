@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cardinal.llm.columnar import map_batches, text_column
 
 #: Entries of a worker's memo of encoded words; it is emptied beyond that.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 300_000
 #: Longer words are not kept in the memo.
 MEMO_CHARS = 40
 
@@ -122,7 +122,7 @@ class BytePairCodec:
 
     def _chunk(self, chunk: str) -> bytes:
         found = _PIECES.findall(chunk)
-        return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+        return self._merge(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
     def _plain(self, text: str) -> bytes:
         for memo in (self.pieces, self.heads, self.tails):

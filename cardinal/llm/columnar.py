@@ -88,8 +88,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(SLICE_BYTES.bit_length(), int(n).bit_length())
-    return _powers(size)
+    return _powers(SLICE_BYTES + 2 if n <= SLICE_BYTES + 2 else 1 << int(n).bit_length())
 
 
 def mix(h: np.ndarray) -> np.ndarray:
