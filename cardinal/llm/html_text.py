@@ -27,7 +27,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 RAW = "script|style|noscript|template|textarea|svg|iframe|object|math|canvas|title|select|option|button"
 CHROME = frozenset("nav footer aside form menu dialog".split())
 CONTENT = frozenset(("article", "main"))
-TRACKED = frozenset("article main nav footer header aside form menu dialog div section ul ol dl table figure body td blockquote p span li".split()) - {"p", "span", "li"}
+TRACKED = frozenset("article main nav footer header aside form menu dialog div section ul ol dl table figure td blockquote p span li".split()) - {"p", "span", "li"}
 #: Words of class, id and role that mark what surrounds an article.
 CHROME_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot "
@@ -37,7 +37,7 @@ CHROME_WORDS = frozenset(
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>%s)\b(?:[^>"']+|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?/a-z][^>]*>""" % RAW, re.I | re.S)  # noqa: UP031
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s/=]|$)(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -187,7 +187,8 @@ def _marked(rest: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks that aren't empty, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, inside chrome, inside content
+    # Name, inside chrome (2: by an element's name, 1: by a marking only), inside content. A wrapper's marking doesn't reach into an article.
+    stack: list[tuple[str, int, bool]] = []
     marked: list[str] = []  # open block elements outside the stack that are marked as chrome themselves
     parts: list[tuple[str, bool]] = []
     in_link, heading, in_head, at = 0, False, False, 0
@@ -198,8 +199,8 @@ def blocks(page: str) -> list[Block]:
             if words:
                 n = words.count(" ") + 1
                 linked = len(references.unescape(" ".join(t for t, link in parts if link)).split())
-                _, chrome, content = stack[-1] if stack else ("", False, False)
-                out.append(Block(words, n, min(1.0, linked / n), chrome or bool(marked), content, heading))
+                _, chrome, content = stack[-1] if stack else ("", 0, False)
+                out.append(Block(words, n, min(1.0, linked / n), chrome > 0 or bool(marked), content, heading))
             parts.clear()
 
     for m in _TAG.finditer(page):
@@ -228,9 +229,14 @@ def blocks(page: str) -> list[Block]:
                         while stack.pop()[0] != name:
                             pass
                 else:
-                    _, chrome, content = stack[-1] if stack else ("", False, False)
-                    own = name in CHROME or (name == "header" and not content) or _marked(m["rest"])
-                    stack.append((name, chrome or own, content or name in CONTENT))
+                    _, chrome, content = stack[-1] if stack else ("", 0, False)
+                    if name in CONTENT:
+                        chrome = 2 if chrome == 2 else 0
+                    elif name in CHROME or (name == "header" and not content):
+                        chrome = 2
+                    elif _marked(m["rest"]):
+                        chrome = max(chrome, 1)
+                    stack.append((name, chrome, content or name in CONTENT))
             elif closing:
                 marked = [x for x in marked if x != name]
             else:

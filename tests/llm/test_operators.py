@@ -264,6 +264,7 @@ def test_html():
     )
     assert html_text.main_text(page) == "Title &amp; more\nFirst bold text here\nSecond link.\nShort"
     assert html_text.main_text("") == "" and html_text.main_text("<p><!-- open") == "" and html_text.main_text("<script>x") == ""
+    assert html_text.main_text('<body class="has-sidebar"><div class="with-sidebar"><article><p>In<p hidden>Out</article></div><aside><article><p>Teaser</article></aside>') == "In"
     long = " ".join(["word"] * 60)
     assert html_text.main_text(f"<body><div><p>{long}</p><p>{long}</p></div><div><a href=x>one two</a> <a href=y>three</a></div>") == f"{long}\n{long}"
 
