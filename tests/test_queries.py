@@ -146,3 +146,16 @@ def test_entry_without_the_training_operators(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.queries()) == set(queries.QUERIES) and set(entry.oracle_sql()) == set(queries.ORACLES)
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_sampler(spark, tmp_path):
+    from cardinal.plans import sampler
+
+    spark.createDataFrame([(7, "Toy-set", "active", 1)], "data_id bigint, name string, status string, version int").write.parquet(f"{tmp_path}/catalog")
+    spark.createDataFrame([(i, float(i % 7), "ab"[i % 4 == 0]) for i in range(80)], "row_id bigint, v double, class string").write.parquet(f"{tmp_path}/7.parquet")
+    (tmp_path / "c.json").write_text('{"groups": {"1": ["toy_set", "missing"]}, "defaults": {"max_rows": 20}}')
+    sampler.main(["--catalog", f"{tmp_path}/catalog", "--datasets-dir", str(tmp_path), "--config", f"{tmp_path}/c.json", "--group", "1", "--output-dir", f"{tmp_path}/out"])
+    done = {r["query"]: r for r in spark.read.json(f"{tmp_path}/out/summary.json").collect()}
+    assert done["toy_set"]["sample_rows"] == 20 and done["toy_set"]["n_classes"] == 2 and done["missing"]["error"]
+    counts = {r["class"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out/7.parquet").groupBy("class").count().collect()}
+    assert counts == {"a": 15, "b": 5}
