@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,13 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps that are written already."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of steps that are written already.
+
+    The scheduler keeps hold of the last job until it gets another one, so a job of one row goes first; Spark's cleaner works
+    in the background, on what the collector has found.
+    """
+    spark.range(1, numPartitions=1).count()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
