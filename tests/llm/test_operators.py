@@ -481,3 +481,20 @@ def test_license_expressions():
 
 def test_license_rows(docs, empty):
     assert licenses.scan(docs).count() == len(TEXTS) + 1 and licenses.scan(empty).count() == 0
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(90)]
+    texts = []
+    for k in range(260):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 8])):
+            own[rng.randrange(90)] = f"v{k}x{rng.randrange(100)}"
+        texts.append(" ".join(own))
+    for k in range(40):  # a chain: each links with the one before, the ends don't
+        texts.append(" ".join(f"c{i}" for i in range(2 * k, 2 * k + 60)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    out = ngram_join.near_duplicates(df, words=4, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == grouped(texts, 4, 85)
+    assert len({r["component_id"] for r in out if r["doc_id"] >= 260}) == 1
