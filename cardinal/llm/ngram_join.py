@@ -9,10 +9,11 @@ Words are lower-cased (A-Z only) runs without ASCII white space; a document's se
    D + 1 + z, where z is more than the empty blocks that a document is likely to have: then two linked sets share a
    block that isn't empty. Documents with more than z empty blocks also emit those. A set that can have smaller partners
    in the band below emits there too. So no link is lost.
-3. Documents that agree in a block are tested against the smallest id there; tests are exact, on the whole sets. The
-   links give components. Then blocks whose documents still lie in several components are taken again: pairs across
-   components that pass the size bound and whose 1024-bit parity sketches differ in at most D bits (the Hamming
-   distance never exceeds the symmetric difference) are tested too. Pairs within a component need no test.
+3. Documents that agree in a block are paired with the smallest id there. Pairs have to pass the size bound, and their
+   1024-bit parity sketches may differ in at most D bits (the Hamming distance never exceeds the symmetric difference).
+   Each document is tested against its smallest partner first; tests are exact, on the whole sets. The links give
+   components. Then the pairs left over, and those in a block, that still lie in several components are tested too, under
+   the same bounds. Pairs within a component need no test.
 
 Edge cases: null, empty or wordless texts have no shingles and link with nothing (component_id is the own id); a null id
 is kept, with a null component_id; rows with equal ids are one node; repeated rows give repeated results; other columns
@@ -217,6 +218,22 @@ def token_sets(rows: DataFrame, words: int) -> DataFrame:
     return map_batches(rows, kernel, "id bigint, tokens binary, sketch binary")
 
 
+def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the size bound and whose parity sketches are near enough; only sizes and sketches are moved for that. known: id, sketch, n."""
+    left = known.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    right = known.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+    met = pairs.select("a", "b").join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+
+    def kernel(batch):
+        sketches = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (2, 3)]
+        total = batch.column(4).to_numpy()
+        near = np.bitwise_count(sketches[0] ^ sketches[1]).sum(1) <= max_difference(total, percent)
+        at = pa.array(np.flatnonzero(near))
+        yield {"a": batch.column(0).take(at), "b": batch.column(1).take(at)}
+
+    return map_batches(met.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("total")), kernel, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. b's set goes to a, in salted groups of about GROUP_BLOCK, and is tested as it streams by."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_BLOCK).alias("salts"))
@@ -308,16 +325,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = staged(token_sets(rows.join(needed, "id", "left_semi"), words))
     release(docs.sparkSession)
     copies = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = checkpoint(verified(pairs, sets, percent))
+    known = sets.select("id", "sketch", (F.octet_length("tokens") / 8).cast("bigint").alias("n"))
+
+    # A member that many blocks put under several leaders is tested against the smallest first; mostly that settles it.
+    pairs = checkpoint(plausible(pairs, known, percent))
+    firsts = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = checkpoint(verified(firsts, sets, percent))
     release(docs.sparkSession)
     first = connected_components(links)
+    label = lambda end: first.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b").join(firsts, ["a", "b"], "left_anti")
 
-    # Blocks of three or more documents (two are tested already) that still hold several components.
+    # Blocks of three or more documents that still hold several components.
     labelled = shared.join(leads.where("size > 2").select("key"), "key").withColumnRenamed("rep", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key")
-    known = sets.select("id", "sketch", (F.octet_length("tokens") / 8).cast("bigint").alias("n"))
     groups = checkpoint(labelled.join(open_keys, "key").join(known, "id").select("key", "id", "label", "n", "sketch"))
-    more = checkpoint(pairs_across(groups, percent).join(pairs, ["a", "b"], "left_anti"))
+    more = pairs_across(groups, percent).join(firsts, ["a", "b"], "left_anti")
+    more = checkpoint(more.unionByName(apart).distinct())
     links = links.unionByName(verified(more, sets, percent)).unionByName(copies)
     component = connected_components(links)
     out = sizes.join(component, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
