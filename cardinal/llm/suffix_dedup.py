@@ -38,7 +38,7 @@ GRAM = 24
 MOST_WINDOWS = 48
 SHARD_BYTES = 4 << 20
 #: Anchors that more documents than this have are aggregated window by window.
-HOT_DOCUMENTS = 20_000
+HOT_DOCUMENTS = 200_000
 
 _U = np.uint64
 
