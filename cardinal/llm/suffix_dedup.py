@@ -36,9 +36,9 @@ from cardinal.llm.suffix_array import shares_prefix, suffix_array
 GRAM = 24
 #: Windows of a segment; one bit of a verdict for each.
 MOST_WINDOWS = 48
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Anchors that more documents than this have are aggregated window by window.
-HOT_DOCUMENTS = 200_000
+HOT_DOCUMENTS = 50_000
 
 _U = np.uint64
 
