@@ -14,7 +14,6 @@ against decompression bombs; its first INFLATE_BYTES are scanned.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -38,7 +37,10 @@ _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+?-----END
 _URL = re.compile(r"[^\s\"'<>%]*(?:%[0-9A-Fa-f]{2}[^\s\"'<>%]*)+")
 _ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};)+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#x([0-9A-Fa-f]{1,6});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+#: The shortest base secret (token=abcdef) has 12 bytes: 16 characters. Lines of one run may be wrapped.
+MIN_BASE64 = 16
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}|[A-Za-z0-9+/_-]{4,}(?=[\x20\t]*[\r\n]))(?:[\x20\t]*(?:\r\n?|\n)[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "deep_assign", "deep_access", "deep_hex", "deep_pem")
 
@@ -58,22 +60,39 @@ def _order(span: tuple[str, int, int]) -> tuple:
     return span[1], KINDS.index(span[0]), span[2]
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    for head, bits in ((b"\x1f\x8b", 31), (b"x", 15)):
-        if raw.startswith(head):
-            try:
-                return zlib.decompressobj(bits).decompress(raw, INFLATE_BYTES)
-            except zlib.error:
-                return None
-    return None
+def _inflate(raw: bytes, at: int) -> bytes | None:
+    try:
+        return zlib.decompressobj(31 if raw[at] == 0x1F else 15).decompress(raw[at:], INFLATE_BYTES)
+    except zlib.error:
+        return None
+
+
+def _unbase64(run: str) -> list[bytes]:
+    """The bytes of a run, read from each of its first four characters: words before it on its line or the line above shift it."""
+    code = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
+    out = []
+    for skip in range(min(4, len(code) - MIN_BASE64 + 1)):
+        part = code[skip : len(code) - ((len(code) - skip) % 4 == 1)]
+        out.append(binascii.a2b_base64(part + "=" * (-len(part) % 4)))
+    return out
 
 
-def _readable(raw: bytes) -> str | None:
+def _text(raw: bytes) -> str:
     try:
-        text = raw.decode()
+        return raw.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
+        return raw.decode("latin-1")
+
+
+def _contents(run: str) -> list[str]:
+    """What a base64 run may hold: its bytes, and what compressed streams in them inflate to, as text whatever the bytes are."""
+    work, seen = _unbase64(run), set()
+    while work:
+        raw = work.pop()
+        if raw and raw not in seen:
+            seen.add(raw)
+            work += [plain for m in _PACKED.finditer(raw) if (plain := _inflate(raw, m.start()))]
+    return [_text(raw) for raw in seen]
 
 
 def _unescape(m: re.Match) -> str:
@@ -89,16 +108,7 @@ def _inner(text: str) -> list[tuple[int, int, str]]:
     if "\\" in text or "&#" in text:
         out += [(*m.span(), _ESCAPE.sub(_unescape, m[0])) for m in _ESCAPED.finditer(text)]
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        plain = _readable(inflated) if (inflated := _inflate(raw)) is not None else _readable(raw)
-        if plain:
-            out.append((*m.span(), plain))
+        out += [(*m.span(), plain) for plain in _contents(m[0])]
     return out
 
 

@@ -408,6 +408,19 @@ def test_secrets_in_layers():
     assert secrets.redact('x token = "abcdef0123" y') == 'x [SECRET]" y'
 
 
+def test_secrets_in_short_wrapped_and_binary_runs():
+    code = lambda raw: base64.b64encode(raw).decode()
+    rng = random.Random(3)
+    noise = bytes(rng.randrange(256) for _ in range(300))
+    long = code(gzip.compress(noise.hex().encode() + b"\0" * 400 + b" password=hunter2"))
+    wrapped = "\r\n".join(long[i : i + 76] for i in range(0, len(long), 76))
+    for hidden in (code(b"password=hunter2"), code(b"token=abcdef"), code(b"token=abcdefg").rstrip("="), code(noise + b" password=hunter2 " + noise), long, wrapped, "path/" + code(b"password=hunter2"), "\n".join(re.findall(".{1,8}", code(b"password=hunter2")))):
+        text = f"é before {hidden} after"
+        assert any(k == "deep_assign" and hidden in text[a:b] for k, a, b in secrets.scan_text(text)), hidden
+        assert "[SECRET]" in secrets.redact(text) and hidden not in secrets.redact(text)
+    assert secrets.scan_text("a line of long words, internationalisation\nundernourishment and counterrevolutionary") == []
+
+
 def test_secret_rows(docs, empty, spark):
     out = secrets.scan(docs)
     assert out.count() == len(TEXTS) + 1 and secrets.scan(empty).count() == 0
