@@ -1,8 +1,10 @@
 """Secret scans by a recursive decoding worklist.
 
-The text is the first layer. Each layer is scanned; runs in it that look URL-escaped, Unicode-escaped, base64-coded or
-(after base64) compressed are decoded into new layers, which go on the worklist unless the same content was seen before.
-It ends at a fixpoint. What is found in an inner layer is reported at the span, in the whole text, of the outermost run.
+The text is the first layer. Of each layer, the first and all others alike, follow further ones: the whole layer with its
+URL and Unicode escapes decoded in place, the whole layer with its readable base64 runs decoded in place, and, apart, all
+that a base64 run holds (its bytes, and what compressed streams in them inflate to). Each is scanned whole and goes on the
+worklist unless it was seen before; it ends at a fixpoint. What is found in an inner layer is reported at the span, in the
+whole text, of the outermost runs and the plain characters that it covers.
 
 Kinds: assign, access and hex in the text itself, pem for private key blocks, and deep_* for what inner layers hold.
 Spans are in code points, end exclusive.
@@ -18,6 +20,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -34,9 +37,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 _KEYWORD = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.A)
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+?-----END [A-Z ]*PRIVATE KEY-----")
-_URL = re.compile(r"[^\s\"'<>%]*(?:%[0-9A-Fa-f]{2}[^\s\"'<>%]*)+")
+_URL = re.compile(r"(?:[^\s\"'<>%]|%[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};)+")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#x([0-9A-Fa-f]{1,6});")
+_CODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#x([0-9A-Fa-f]{1,6});|((?:%[0-9A-Fa-f]{2})+)")
 #: The shortest base secret (token=abcdef) has 12 bytes: 16 characters. Lines of one run may be wrapped.
 MIN_BASE64 = 16
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}|[A-Za-z0-9+/_-]{4,}(?=[\x20\t]*[\r\n]))(?:[\x20\t]*(?:\r\n?|\n)[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
@@ -95,56 +98,118 @@ def _contents(run: str) -> list[str]:
     return [_text(raw) for raw in seen]
 
 
-def _unescape(m: re.Match) -> str:
+def _decode(m: re.Match) -> str:
+    if m[5]:
+        return unquote(m[5], errors="replace")
     code = int(m[3]) if m[3] else int(m[1] or m[2] or m[4], 16)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
 
-def _inner(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, content) of the coded runs of a layer."""
-    out = []
+class Layer:
+    """A text and where it comes from: pieces (start, outer start, outer end, decoded), the outer ones in the whole text."""
+
+    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]]):
+        self.text, self.pieces = text, pieces
+        self.starts = [p[0] for p in pieces]
+
+    def outer(self, start: int, end: int) -> tuple[int, int, bool]:
+        """The span in the whole text of a part that isn't empty, and whether anything in it was decoded."""
+        first, last = bisect_right(self.starts, start) - 1, bisect_left(self.starts, end)
+        spans = [(b, c, True) if d else (b + max(start - a, 0), min(b + end - a, c), False) for a, b, c, d in self.pieces[first:last]]
+        return min(x[0] for x in spans), max(x[1] for x in spans), any(x[2] for x in spans)
+
+    def replaced(self, runs: list[tuple[int, int, str]]) -> Layer:
+        """The whole layer with runs (in order, apart from each other) replaced by what they decode to."""
+        parts, pieces, size, at = [], [], 0, 0
+
+        def copy(until: int) -> None:
+            nonlocal size
+            for k in range(bisect_right(self.starts, at) - 1, bisect_left(self.starts, until)):
+                a, b, c, decoded = self.pieces[k]
+                skip = max(at - a, 0)
+                pieces.append((size + max(a - at, 0), b if decoded else b + skip, c if decoded else min(c, b + until - a), decoded))
+            parts.append(self.text[at:until])
+            size += until - at
+
+        for start, end, plain in runs:
+            if start > at:
+                copy(start)
+            low, high, _ = self.outer(start, end)
+            pieces.append((size, low, high, True))
+            parts.append(plain)
+            size += len(plain)
+            at = end
+        if at < len(self.text):
+            copy(len(self.text))
+        return Layer("".join(parts), pieces)
+
+
+def _escaped_runs(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, content) of the runs with URL or Unicode escapes; overlapping ones are one."""
+    spans = []
     if "%" in text:
-        out += [(*m.span(), unquote(m[0], errors="replace")) for m in _URL.finditer(text)]
+        spans += [m.span() for m in _URL.finditer(text) if "%" in m[0]]
     if "\\" in text or "&#" in text:
-        out += [(*m.span(), _ESCAPE.sub(_unescape, m[0])) for m in _ESCAPED.finditer(text)]
-    for m in _BASE64.finditer(text):
-        out += [(*m.span(), plain) for plain in _contents(m[0])]
+        spans += [m.span() for m in _ESCAPED.finditer(text)]
+    runs: list[list[int]] = []
+    for start, end in sorted(spans):
+        if runs and start < runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    return [(a, b, plain) for a, b in runs if (plain := _CODE.sub(_decode, text[a:b])) != text[a:b]]
+
+
+def _readable(run: str) -> str | None:
+    """A base64 run as text, if all of it is printable: only then it may take the run's place between what surrounds it."""
+    for raw in _unbase64(run)[:1]:
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            return None
+        return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+    return None
+
+
+def _inner(layer: Layer) -> list[Layer]:
+    """The layers that follow from a layer: itself with escapes decoded, itself with readable base64 decoded, and whatever else its base64 runs hold, each apart."""
+    out = []
+    if escaped := _escaped_runs(layer.text):
+        out.append(layer.replaced(escaped))
+    coded = list(_BASE64.finditer(layer.text))
+    readable = [(*m.span(), plain) for m in coded if (plain := _readable(m[0]))]
+    if readable:
+        out.append(layer.replaced(readable))
+    for m in coded:
+        contents = _contents(m[0])
+        if contents:
+            low, high, _ = layer.outer(*m.span())
+            out += [Layer(plain, [(0, low, high, True)]) for plain in contents]
     return out
 
 
-def _unescaped_whole(text: str, start: int, end: int) -> tuple[int, int, str]:
-    """An escaped run with the solid characters around it, so that a word that is escaped in part reads whole."""
-    a, b = start, end
-    while a and not text[a - 1].isspace():
-        a -= 1
-    while b < len(text) and not text[b].isspace():
-        b += 1
-    return a, b, _ESCAPE.sub(_unescape, text[a:b])
-
-
 def scan_text(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text, base ones included."""
-    found = base_spans(text)
-    spans = set(found)
+    base = base_spans(text)
+    spans = set(base)
     if "-----BEGIN" in text:
         spans |= {("pem", *m.span()) for m in _PEM.finditer(text)}
-    work = [(a, b, inner) for a, b, inner in _inner(text)]
-    if "\\u" in text or "\\x" in text or "&#" in text:
-        done = -1
-        for m in _ESCAPED.finditer(text):
-            if m.start() >= done:
-                work.append(_unescaped_whole(text, *m.span()))
-                done = work[-1][1]
+    work = _inner(Layer(text, [(0, 0, len(text), False)])) if text else []
     seen = set()
     while work:
-        a, b, layer = work.pop()
-        if (layer, a, b) in seen:
+        layer = work.pop()
+        key = (layer.text, tuple(layer.pieces))
+        if key in seen:
             continue
-        seen.add((layer, a, b))
-        spans |= {(f"deep_{kind}", a, b) for kind, _, _ in base_spans(layer)}
-        if _PEM.search(layer):
-            spans.add(("deep_pem", a, b))
-        work += [(a, b, inner) for _, _, inner in _inner(layer) if inner != layer]
+        seen.add(key)
+        found = base_spans(layer.text)
+        if "-----BEGIN" in layer.text:
+            found += [("pem", *m.span()) for m in _PEM.finditer(layer.text)]
+        for kind, start, end in found:
+            low, high, decoded = layer.outer(start, end)
+            if decoded or not any(a <= low and high <= b for _, a, b in spans):
+                spans.add((f"deep_{kind}", low, high))
+        work += _inner(layer)
     return sorted(spans, key=_order)
 
 

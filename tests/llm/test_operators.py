@@ -421,6 +421,17 @@ def test_secrets_in_short_wrapped_and_binary_runs():
     assert secrets.scan_text("a line of long words, internationalisation\nundernourishment and counterrevolutionary") == []
 
 
+def test_secrets_partly_coded_in_any_layer():
+    code = lambda s: base64.b64encode(s.encode()).decode()
+    partly = ("pass\\u0077ord=hunter22", 'pass%77ord="hunter22', "tok&#101;n = abc%64ef", "api%5Cu005fkey: abcdef12", "%2561pi_key=abcdef12", code("this is the database password") + ": hunter22")
+    for secret in partly:
+        for hidden in (secret, code(secret), quote(secret), code(code(secret)), quote(code("x " + secret)), "".join(f"\\u{ord(c):04x}" for c in secret), base64.b64encode(gzip.compress(secret.encode())).decode()):
+            text = f"é before {hidden} after password = no and {code('nothing to be seen here')}"
+            assert any(k == "deep_assign" and 0 <= a - text.index(hidden) <= 12 and text[a:b].rstrip("=") in hidden for k, a, b in secrets.scan_text(text)), (secret, hidden)
+            clean = secrets.redact(text)
+            assert secrets.scan_text(clean) == [] and clean.startswith("é before ") and clean.endswith(text[text.index(" after") :]), (secret, hidden)
+
+
 def test_secret_rows(docs, empty, spark):
     out = secrets.scan(docs)
     assert out.count() == len(TEXTS) + 1 and secrets.scan(empty).count() == 0
