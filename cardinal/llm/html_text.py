@@ -6,13 +6,15 @@ says which blocks are the article's. Character references are decoded once, whit
 space, empty blocks go, and the blocks that stay are joined in page order by a line feed. Nothing is capped.
 
 Edge cases: null or empty html gives an empty text; markup that is never closed ends with the page, and so does an open
-script, style or comment; repeated rows give repeated results; only the three named columns are read.
+comment or element whose content is no markup (script, style, noscript, template, textarea, iframe, title); an open button,
+list of options, drawing, formula, object or canvas ends with the element around it, or where an article begins; repeated rows give repeated results; only the three named columns are read.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,7 +26,14 @@ from cardinal.llm.columnar import map_batches
 
 #: Names of the document language.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = "script|style|noscript|template|textarea|svg|iframe|object|math|canvas|title|select|option|button"
+RAW = "script|style|noscript|template|textarea|iframe|title"
+RAW_NAMES = frozenset(RAW.split("|"))
+#: Elements with markup inside whose text is never shown as part of an article.
+UNSEEN = frozenset("svg object math canvas select option optgroup datalist button".split())
+#: Elements without an end tag; start tags that end an open drawing or formula, unless one of the third kind is open in it.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+BREAKOUT = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INTEGRATION = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
 CHROME = frozenset("nav footer aside form menu dialog".split())
 CONTENT = frozenset(("article", "main"))
 TRACKED = frozenset("article main nav footer header aside form menu dialog div section ul ol dl table figure td blockquote p span li".split()) - {"p", "span", "li"}
@@ -35,9 +44,10 @@ CHROME_WORDS = frozenset(
     "share sharing social related recommended widget toolbar pagination pager search form contentinfo complementary tags tagcloud copyright legal disclaimer skip".split()
 )
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>%s)\b(?:[^>"']+|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?/a-z][^>]*>""" % RAW, re.I | re.S)  # noqa: UP031
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>%s)(?=[\s/>])(?!\s*/>)(?:[^>"']+|"[^"]*"|'[^']*')*+(?<![\s"']/)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?/a-z][^>]*>""" % RAW, re.I | re.S)  # noqa: UP031
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s/=]|$)(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"']|\s[^\s=]+)/\Z""")
 _PARTS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -184,6 +194,26 @@ def _marked(rest: str) -> bool:
     return any(not CHROME_WORDS.isdisjoint(_PARTS.findall(_CAMEL.sub(" ", v).lower())) for v in _NAMED.findall(rest))
 
 
+def _unseen_start(unseen: list[str], name: str) -> bool:
+    """Enter a start tag into the open elements from the first unseen one on; False if it ends them all and is seen itself."""
+    outer = next((k for k in range(len(unseen) - 1, -1, -1) if unseen[k] in ("svg", "math")), -1)
+    inner = any(x in INTEGRATION for x in unseen[outer + 1 :])
+    if name in CONTENT and not inner:
+        unseen.clear()
+    elif outer >= 0 and name in BREAKOUT and not inner:
+        del unseen[outer:]
+    elif name in ("button", "select") and name in unseen:
+        del unseen[unseen.index(name) :]
+    elif name in ("option", "optgroup"):
+        while unseen and unseen[-1] in ("option", name):
+            unseen.pop()
+    if not unseen and name not in UNSEEN:
+        return False
+    if name not in VOID:
+        unseen.append(name)
+    return True
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks that aren't empty, in page order."""
     out: list[Block] = []
@@ -191,6 +221,8 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int, bool]] = []
     marked: list[str] = []  # open block elements outside the stack that are marked as chrome themselves
     parts: list[tuple[str, bool]] = []
+    unseen: list[str] = []  # open elements from the first unseen one on
+    loose: Counter[str] = Counter()  # open block elements outside the stack
     in_link, heading, in_head, at = 0, False, False, 0
 
     def flush() -> None:
@@ -204,13 +236,29 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
 
     for m in _TAG.finditer(page):
-        if m.start() > at and not in_head:
+        if m.start() > at and not in_head and not unseen:
             parts.append((page[at : m.start()], in_link > 0))
         at = m.end()
         name = m["name"]
         if name is None:
             continue
         name, closing = name.lower(), bool(m["close"])
+        if name in RAW_NAMES:  # self-closed, or a stray end
+            continue
+        if name in ("head", "body", "html"):
+            unseen.clear()
+        elif unseen and closing and name in unseen:
+            while unseen.pop() != name:
+                pass
+            continue
+        elif unseen and closing:
+            in_link = 0 if name == "a" else in_link
+            if not (any(x[0] == name for x in stack) or loose[name]) or name == "p":
+                continue
+            unseen.clear()  # the end of what they lie in ends them
+        elif unseen or name in UNSEEN:
+            if closing or _SELF_CLOSED.search(m["rest"]) or _unseen_start(unseen, name):
+                continue
         if name in ("head", "body", "html"):
             flush()
             in_head = name == "head" and not closing
@@ -238,10 +286,12 @@ def blocks(page: str) -> list[Block]:
                         chrome = max(chrome, 1)
                     stack.append((name, chrome, content or name in CONTENT))
             elif closing:
+                loose[name] -= loose[name] > 0
                 marked = [x for x in marked if x != name]
             else:
+                loose[name] += name not in VOID
                 marked = [x for x in marked if x != name] + [name] * _marked(m["rest"])
-    if at < len(page) and not in_head:
+    if at < len(page) and not in_head and not unseen:
         parts.append((page[at:], in_link > 0))
     flush()
     return out

@@ -269,6 +269,24 @@ def test_html():
     assert html_text.main_text(f"<body><div><p>{long}</p><p>{long}</p></div><div><a href=x>one two</a> <a href=y>three</a></div>") == f"{long}\n{long}"
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<form><input list=l><datalist id=l><option value=a><option value=b></datalist></form>", '<svg class="icon" />', "<svg/>", "<button-bar>Go</button-bar>", "<select-box></select-box>", "<title-bar></title-bar>",
+        "<select><option>One<option>Two</select>", "<form><select><optgroup><option>One</form>", '<iframe src="x" />', '<script src="x"/>', "<ul><li><button>Go</li></ul>", "<object data=x><param name=y>", "<svg><path d=x><circle>", "<button>One<button>Two</button>", "<option>One",
+    ],
+)
+def test_html_after_unclosed_elements(before):
+    article = "<article><p>First text <svg><title>No</title><g><text>No</text></g></svg>here<p>Second <button><div>No</div></button>one</article>"
+    assert html_text.main_text(f"<body><header>{before}</header>{article}<footer>us</footer></body>") == "First text here\nSecond one"
+    assert html_text.main_text(f"<body>{before}{article}<footer>us</footer></body>") == "First text here\nSecond one"
+
+
+def test_html_hides_what_lies_in_closed_elements():
+    for hidden in ("<select><option>a<option>b</select>", "<svg viewBox='0 0 1 1'><foreignObject><div><p>a</p></div></foreignObject></svg>", "<math><mi>x</mi><mtext><b>y</b></mtext></math>", "<button type=button><div>a</div><p>b</p></button>", "<canvas>old</canvas>", "<script src=/a/>x</script>", "<object><object>a</object>b</object>"):
+        assert html_text.main_text(f"<article><p>One {hidden}two</article>") == "One two", hidden
+
+
 def test_html_tree_is_learned():
     x, y = html_text.labelled()
     assert all(html_text.classify(html_text.tree(), tuple(r)) == v for r, v in zip(x, y, strict=True))
