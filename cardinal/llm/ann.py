@@ -10,8 +10,8 @@ are put into buckets, and equal queries are searched once. Queries and rows meet
 its buckets and streams the rows, keeping the k + 1 best of each query, so no candidate list leaves it.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do null ids;
-vectors of another length never meet; ties go to the smaller id; rows with equal ids count once; with fewer than k
-candidates all that were found are returned; other columns are ignored; an empty table gives an empty table.
+vectors of another length never meet; ties go to the smaller id; rows with equal ids count once; a query that finds fewer
+than k in its buckets is ranked against all rows, so that a list is short only if there are fewer; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ TABLES, HASHES, PROBES, AXES = 8, 2, 1000, 48
 #: Rows of an average bucket beyond which buckets are salted.
 BUCKET_ROWS = 50_000
 PAIRS = 1 << 17
+#: Queries that meet a block of rows at a time where all rows are ranked.
+QUERY_BLOCK = 1024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -254,7 +256,12 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
 
     found = dealt.mapInArrow(rank, "leader bigint, vec_id bigint, score double").groupBy("leader", "vec_id").agg(F.min("score").alias("score"))
     near = Window.partitionBy("leader").orderBy("score", "vec_id")
-    top = found.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1)
+    nearest = lambda rows: rows.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1).drop("place")
+    top = staged(nearest(found))
+    full = top.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > k)
+    short = staged(leaders.join(full, "leader", "left_anti").select("leader", "vector"))
+    if n_short := short.count():
+        top = top.join(short, "leader", "left_anti").unionByName(nearest(against_all(short, n_short, index, kind, k)))
     asked = queries.join(leaders, "vector").select(F.col("id").alias("query_id"), "leader").distinct()
     # A query is among the k + 1 nearest of its class's leader or has k nearer or equal rows before it.
     answers = asked.join(top, "leader").where("query_id != vec_id")
@@ -262,6 +269,40 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     return answers.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def against_all(queries: DataFrame, count: int, index: DataFrame, kind: str, k: int) -> DataFrame:
+    """leader, vec_id, score: the k + 1 nearest rows of each query (leader, vector) and block of rows; blocks of queries meet blocks of rows."""
+    parts = shuffle_partitions(queries.sparkSession)
+    blocks = -(-count // QUERY_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    asked = queries.select(F.pmod(F.xxhash64("leader"), F.lit(blocks)).alias("q"), every(parts).alias("r"), F.lit(0).alias("kind"), F.col("leader").alias("id"), "vector")
+    rows = index.select(every(blocks).alias("q"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("r"), F.lit(1).alias("kind"), "id", "vector")
+    dealt = asked.unionByName(rows).repartition(parts, "q", "r").sortWithinPartitions("q", "r", "kind")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, place, ids, vectors = Best(k + 1), None, [], []
+        for batch in batches:
+            q, r, of_row, own = (batch.column(c).to_numpy() for c in range(4))
+            cuts = [0, *(np.flatnonzero((q[1:] != q[:-1]) | (r[1:] != r[:-1])) + 1).tolist(), len(batch)] if len(batch) else []
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if place != (q[start], r[start]):
+                    place, ids, vectors = (q[start], r[start]), [], []
+                first = start + int((of_row[start:end] == 0).sum())  # queries come first
+                ids += own[start:first].tolist()
+                vectors += batch.column(4).slice(start, first - start).to_pylist()
+                for at, blobs in _by_length(batch.column(4).slice(first, end - first)):
+                    row_id, matrix = own[first + at], _matrix(blobs, kind)
+                    for query, vector in zip(ids, vectors, strict=True):
+                        if len(vector) == len(blobs[0]):
+                            d = matrix - np.frombuffer(vector, kind).astype(np.float64)
+                            d = np.sqrt((d * d).sum(1))
+                            keep = np.lexsort((row_id, d))[: k + 1]
+                            best.add(np.full(len(keep), query), row_id[keep], d[keep])
+        a, b, d = best.best()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64())], ["leader", "vec_id", "score"])
+
+    return dealt.mapInArrow(rank, "leader bigint, vec_id bigint, score double").groupBy("leader", "vec_id").agg(F.min("score").alias("score"))
+
+
 def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """(rows, packed vectors) for the vectors of each length, a few hundred at a time."""
     blobs = column.to_pylist()

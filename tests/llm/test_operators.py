@@ -246,6 +246,26 @@ def test_ann(spark):
     assert few.count() <= 3
 
 
+@pytest.mark.parametrize("n", [3, 20, 1000])
+def test_ann_in_64_dimensions(spark, monkeypatch, n):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype("f4").astype(float)
+    x[-n // 2 :] = x[-1] + x[-n // 2 :] / 1000  # a tight cone
+    x[0] = -x[-1]  # a query that points away from it
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype("f4").astype(float))] + [(10_000, [1.0] * 8)], "vec_id bigint, embedding array<float>")
+    got, x = collections.defaultdict(list), x.astype("f4").astype(float)
+    for r in ann.search(df, lambda i: F.col(i) % max(1, n // 10) == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    recall = []
+    for q in range(0, n, max(1, n // 10)):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((np.arange(n), d)) if i != q][:10]
+        own = got.pop(q)
+        assert len(own) == len(order) and all(s == pytest.approx(d[v], abs=1e-12) for v, s in own)
+        recall.append(len({v for v, _ in own} & set(order)) / len(order))
+    assert not got and np.mean(recall) >= 0.9
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 32))
     assert np.allclose((ann.hadamard(x) ** 2).sum(1), (x**2).sum(1)) and np.allclose(ann.hadamard(ann.hadamard(x)), x)
