@@ -13,7 +13,7 @@ Words are lower-cased (A-Z only) runs without ASCII white space; a document's se
    1024-bit parity sketches may differ in at most D bits (the Hamming distance never exceeds the symmetric difference).
    Each document is tested against its smallest partner first; tests are exact, on the whole sets. The links give
    components. Then the pairs left over, and those in a block, that still lie in several components are tested too, under
-   the same bounds. Pairs within a component need no test.
+   the same bounds. Pairs within a component need no test for the components; links and link_counts verify those too.
 
 Edge cases: null, empty or wordless texts have no shingles and link with nothing (component_id is the own id); a null id
 is kept, with a null component_id; rows with equal ids are one node; repeated rows give repeated results; other columns
@@ -40,6 +40,8 @@ BAND_RATIO = 1.4
 SKETCH_BITS = 1024
 #: Members tested against one leader, or held in one block of a group, by a single task at a time.
 GROUP_BLOCK = 4096
+#: Sets of one component in a block where all links are wanted, and tokens counted at a time.
+LINK_BLOCK, COLUMNS = 512, 8192
 
 _U = np.uint64
 
@@ -310,6 +312,16 @@ def pairs_across(groups: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id for each row; linked if 100 * common >= percent * union."""
+    sizes, _, component = _joined(docs, id_col, text_col, words, percent)
+    return _with_components(sizes, component).withColumnRenamed("id", id_col)
+
+
+def _with_components(sizes: DataFrame, component: DataFrame) -> DataFrame:
+    return sizes.join(component, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The set sizes of all rows, the class (id, rep, n) of each id, and the component of each id that has links."""
     rows = _documents(docs, id_col, text_col)
     sizes = checkpoint(set_sizes(rows, words))
     classes = sizes.where("n > 0 and id is not null").groupBy("p", "q", "n").agg(F.min("id").alias("rep"))
@@ -343,9 +355,81 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = pairs_across(groups, percent).join(firsts, ["a", "b"], "left_anti")
     more = checkpoint(more.unionByName(apart).distinct())
     links = links.unionByName(verified(more, sets, percent)).unionByName(copies)
-    component = connected_components(links)
-    out = sizes.join(component, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumnRenamed("id", id_col)
+    return sizes, member, connected_components(links)
+
+
+def linked_pairs(sets: list[np.ndarray], left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all linked pairs of sets, one in the left half and one in the other; if all are left, of all pairs once. Exact: common tokens are counted."""
+    right = left if left.all() else ~left
+    rows, columns = np.flatnonzero(left), np.flatnonzero(right)
+    size = np.array([len(x) for x in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)[count[token] > 1]
+    token = (np.cumsum(count > 1) - 1)[token[count[token] > 1]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    common = np.zeros((len(rows), len(columns)))
+    for first in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+        a, b = np.searchsorted(token, (first, first + COLUMNS))
+        has = np.zeros((len(sets), int(token[b - 1]) - first + 1), np.float32)
+        has[owner[a:b], token[a:b] - first] = 1
+        common += has[rows] @ has[columns].T
+    near = (common > 0) & (100 * common >= percent * (size[rows][:, None] + size[columns] - common))
+    i, j = np.nonzero(near)
+    i, j = rows[i], columns[j]
+    return (i[i < j], j[i < j]) if left.all() else (i, j)
+
+
+def _links(docs: DataFrame, member: DataFrame, component: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """All linked pairs (a, b) of class representatives. Linked ones lie in one component, so its sets are counted against each other, block against block."""
+    places = member.select(F.col("rep").alias("id"), "n").distinct().join(component, "id")
+    counts = places.groupBy("component").agg(F.count("*").alias("members"), F.ceil(F.count("*") / LINK_BLOCK).alias("g")).where("members > 1")
+    places = checkpoint(places.join(counts, "component").select("component", "id", "n", "g"))
+    sets = staged(token_sets(_documents(docs, id_col, text_col).join(places.select("id").distinct(), "id", "left_semi"), words).select("id", "tokens").dropDuplicates())
+    placed = places.join(sets, "id").where("8 * n = octet_length(tokens)").withColumn("block", F.pmod(F.xxhash64("id"), "g"))
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1)).alias("other"))
+    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "tokens")
+    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+
+        def out(group):
+            ids, left = np.array([x[3] for x in group]), np.array([x[4] == x[1] for x in group])
+            if left.all() and group[0][1] != group[0][2] or not left.any():
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+            i, j = linked_pairs([np.frombuffer(x[5], np.uint64) for x in group], left, percent)
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            return pa.RecordBatch.from_arrays([pa.array(a[a < b], pa.int64()), pa.array(b[a < b], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    yield out(group)
+                    group = []
+                group.append(row)
+        if group:
+            yield out(group)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """a, b: every link between different sets, each set by the smallest id of its class, a < b."""
+    _, member, component = _joined(docs, id_col, text_col, words, percent)
+    return _links(docs, member, component, id_col, text_col, words, percent).distinct()
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """id, n_shingles, component_id, n_links for each row: how many other ids it's linked with, copies included. An id with several texts has the links of each."""
+    sizes, member, component = _joined(docs, id_col, text_col, words, percent)
+    pairs = staged(_links(docs, member, component, id_col, text_col, words, percent).distinct())
+    copies = member.groupBy("rep").agg(F.count("*").alias("copies"))
+    ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("with")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("with")))
+    others = ends.join(copies.select(F.col("rep").alias("with"), "copies"), "with").groupBy("rep").agg(F.sum("copies").alias("others"))
+    counted = member.join(copies, "rep").join(others, "rep", "left").groupBy("id").agg(F.sum(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = _with_components(sizes, component).join(counted, "id", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("bigint").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

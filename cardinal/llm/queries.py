@@ -43,6 +43,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_counts(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_mix_sources": op6_mix_sources,
     "op7_ngram_join": op7_ngram_join,
+    "op7_ngram_links": op7_ngram_links,
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_license_scan": op10_license_scan,

@@ -185,6 +185,21 @@ def test_near_duplicates_equal_brute_force(docs, empty, words, percent):
         assert ngram_join.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_all_links_equal_brute_force(docs, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 16 * block)
+    sets = [shingles(t, 5) for t in TEXTS]
+    linked = [(i, j) for j in range(len(sets)) for i in range(j) if (common := len(sets[i] & sets[j])) and 100 * common >= 80 * len(sets[i] | sets[j])]
+    least = {s: sets.index(s) for s in sets}
+    pairs = {tuple(sorted((least[sets[i]], least[sets[j]]))) for i, j in linked if sets[i] != sets[j]}
+    got = ngram_join.links(docs).collect()
+    assert len(got) == len(pairs) and {tuple(r) for r in got} == pairs
+    ends = collections.Counter(x for pair in linked for x in pair)
+    counts = by_id(ngram_join.link_counts(docs), "n_shingles", "n_links")
+    assert counts == {i: (len(s), ends[i]) for i, s in enumerate(sets)}
+
+
 def test_linked_sets_agree_in_a_block():
     rng = np.random.default_rng(8)
     for _ in range(300):
