@@ -49,6 +49,30 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[dict
     return df.mapInArrow(run, schema)
 
 
+def by_unit(df: DataFrame, unit: str, kernel: Callable[[int, list[tuple]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Runs kernel(unit, rows) for each unit, a number from 0 in the column of that name, with all its rows.
+
+    Units are dealt evenly, to the partition of their number modulo the partitions, and sorted there (Spark's sort
+    spills), so that a task holds the rows of one unit at a time.
+    """
+    parts = shuffle_partitions(df.sparkSession)
+    at = df.columns.index(unit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and row[at] != group[0][at]:
+                    yield from kernel(group[0][at], group)
+                    group = []
+                group.append(row)
+        if group:
+            yield from kernel(group[0][at], group)
+
+    dealt = df.repartitionById(parts, F.pmod(F.col(unit), F.lit(parts)).cast("int"))
+    return dealt.sortWithinPartitions(unit).mapInArrow(run, schema)
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardinal.llm.columnar import text_column
-from cardinal.llm.components import checkpoint
+from cardinal.llm.staging import staged
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Cells of the contingency table that the driver fits; a cell is about 100 bytes.
@@ -135,10 +135,10 @@ def _fit_large(cells: DataFrame, targets: dict, temperature: float, token_share:
             rest = total(Window.partitionBy(F.col("aim").isNull()))
             raw = raw.withColumn("share", F.coalesce("aim", left * F.col("w") / rest))
         sums = raw.agg(F.sum("share").alias("s"))
-        return checkpoint(raw.crossJoin(F.broadcast(sums)).select(d, (F.col("share") / F.col("s")).alias("share")))  # sums is one row
+        return staged(raw.crossJoin(F.broadcast(sums)).select(d, (F.col("share") / F.col("s")).alias("share")))  # sums is one row
 
     aims = {d: shares(d) for d in DIMENSIONS}
-    fitted = checkpoint(cells.withColumn("fitted", F.col("weight").cast("double")))
+    fitted = staged(cells.withColumn("fitted", F.col("weight").cast("double")))
     for _ in range(ROUNDS):
         worst = 0.0
         for d in DIMENSIONS:
@@ -146,7 +146,7 @@ def _fit_large(cells: DataFrame, targets: dict, temperature: float, token_share:
             met = now.join(aims[d], now[d].eqNullSafe(aims[d][d])).select(now[d].alias("value"), "now", "share")
             whole = fitted.agg(F.sum("fitted")).first()[0]
             worst = max(worst, met.agg(F.max(F.abs(F.col("now") / whole - F.col("share")))).first()[0] or 0.0)
-            fitted = checkpoint(fitted.join(met, fitted[d].eqNullSafe(met["value"])).select(*DIMENSIONS, "weight", F.when(F.col("now") > 0, F.col("fitted") * F.col("share") * whole / F.col("now")).otherwise(0.0).alias("fitted")))
+            fitted = staged(fitted.join(met, fitted[d].eqNullSafe(met["value"])).select(*DIMENSIONS, "weight", F.when(F.col("now") > 0, F.col("fitted") * F.col("share") * whole / F.col("now")).otherwise(0.0).alias("fitted")))
         if worst < TOLERANCE:
             break
     factor = F.col("fitted") / F.col("weight")
@@ -171,7 +171,7 @@ def described(docs: DataFrame, text_col: str = "text") -> list[Column]:
 
 def cell_factors(docs: DataFrame, targets: dict[str, dict] | None = None, temperature: float = TEMPERATURE, text_col: str = "text", driver_cells: int = DRIVER_CELLS, token_share: float = TOKEN_SHARE) -> DataFrame:
     """(source, lang, topic, weight, factor): the calibrated probability of each cell."""
-    cells = checkpoint(docs.select(*described(docs, text_col)).groupBy(*DIMENSIONS).agg(F.sum("weight").alias("weight")))
+    cells = staged(docs.select(*described(docs, text_col)).groupBy(*DIMENSIONS).agg(F.sum("weight").alias("weight")))
     n = cells.count()
     if n == 0:
         return cells.withColumn("factor", F.lit(1.0))

@@ -9,15 +9,19 @@ Words are lower-cased (A-Z only) runs without ASCII white space; a document's se
    D + 1 + z, where z is more than the empty blocks that a document is likely to have: then two linked sets share a
    block that isn't empty. Documents with more than z empty blocks also emit those. A set that can have smaller partners
    in the band below emits there too. So no link is lost.
-3. Documents that agree in a block are paired with the smallest id there. Pairs have to pass the size bound, and their
-   1024-bit parity sketches may differ in at most D bits (the Hamming distance never exceeds the symmetric difference).
-   Each document is tested against its smallest partner first; tests are exact, on the whole sets. The links give
-   components. Then the pairs left over, and those in a block, that still lie in several components are tested too, under
-   the same bounds. Pairs within a component need no test for the components; links and link_counts verify those too.
+3. A block that very many classes share (HOT_KEY) is left out for those documents whose hot and empty blocks together are
+   at most z: their linked partners agree with them in another block as well. Only the rest stay in such a group.
+4. Documents that agree in a block are paired with the smallest id there. Pairs have to pass the size bound, and their
+   1024-bit parity sketches may differ in at most D bits (the Hamming distance never exceeds the symmetric difference);
+   only then are whole sets made and moved. Each document is tested against its smallest partner first; tests are exact.
+   The links give components. Then the pairs left over, and those in a block, that still lie in several components are
+   tested too, under the same bounds. Pairs within a component need no test for the components; links and link_counts
+   verify those too.
 
 Edge cases: null, empty or wordless texts have no shingles and link with nothing (component_id is the own id); a null id
-is kept, with a null component_id; rows with equal ids are one node; repeated rows give repeated results; other columns
-are ignored; an empty table gives an empty table.
+is kept, with a null component_id; rows with equal ids are one node (if their texts differ, with the links of each), so
+that keep_one keeps or drops them together; repeated rows give repeated results; other columns are ignored; an empty
+table gives an empty table; ids are integers.
 """
 
 from __future__ import annotations
@@ -28,16 +32,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardinal.llm.columnar import LOWER, map_batches, mix, prefix_sums, repeated, segment_hashes, shuffle_partitions, text_column, text_slices, word_bounds
-from cardinal.llm.components import checkpoint, connected_components
-from cardinal.llm.staging import release, staged
+from cardinal.llm.columnar import LOWER, by_unit, map_batches, mix, prefix_sums, repeated, segment_hashes, shuffle_partitions, text_column, text_slices, word_bounds
+from cardinal.llm.components import connected_components
+from cardinal.llm.staging import dropped, heavy_keys, join_split, small_enough, staged
 
 #: Ratio of the largest to the smallest set size of a band.
 BAND_RATIO = 1.4
 SKETCH_BITS = 1024
+#: Classes in a block from which it counts as hot.
+HOT_KEY = 1024
+#: Entries that a unit of blocks has on average; a task takes unit after unit.
+UNIT_ENTRIES = 1 << 18
 #: Members tested against one leader, or held in one block of a group, by a single task at a time.
 GROUP_BLOCK = 4096
 #: Sets of one component in a block where all links are wanted, and tokens counted at a time.
@@ -93,18 +102,18 @@ def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     spare = []
     for d, n in zip(difference.tolist(), low.tolist(), strict=True):
         expected = (d + 1) * math.exp(-n / (d + 1)) if d else 0.0
-        spare.append(math.ceil(expected + 3 * math.sqrt(expected)))
+        spare.append(math.ceil(expected + 5 * math.sqrt(expected)))
     spare = np.array(spare)
     return low, high, difference + 1 + spare, spare
 
 
-def signatures(owner: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of each block to be agreed on."""
+def signatures(owner: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, band, slack) of each block to be agreed on. slack: z less the document's empty blocks in the band."""
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int8)
     low, high, blocks, spare = bands(percent, 1 << int(n.max()).bit_length())
     own = np.searchsorted(low, n, "right") - 1
-    docs_out, keys_out = [], []
+    out: list[list] = [[], [], [], []]
     for down in range(4):
         band = own - down
         taking = (n > 0) & (band >= 0)
@@ -122,141 +131,181 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) ->
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         value, doc, place = np.bitwise_xor.reduceat(x, first), o[first], place[first]
         empty = blocks[np.maximum(band, 0)] - np.bincount(doc, minlength=len(n))
-        for row in np.flatnonzero(taking & (empty > spare[np.maximum(band, 0)])):
+        slack = spare[np.maximum(band, 0)] - empty
+        for row in np.flatnonzero(taking & (slack < 0)):
             missing = np.setdiff1d(np.arange(blocks[band[row]]), place[doc == row])
             value = np.append(value, np.zeros(len(missing), np.uint64))
             doc, place = np.append(doc, np.full(len(missing), row)), np.append(place, missing)
-        docs_out.append(doc)
-        keys_out.append(mix(value ^ mix((band[doc].astype(np.uint64) << _U(40)) + place.astype(np.uint64) + _U(7))))
-    return np.concatenate(docs_out), np.concatenate(keys_out)
-
-
-def sketch(h: np.ndarray) -> np.ndarray:
-    """A set's parity sketch, packed."""
-    odd = np.bincount((mix(h + _U(99)) % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8))
+        key = mix(value ^ mix((band[doc].astype(np.uint64) << _U(40)) + place.astype(np.uint64) + _U(7)))
+        for column, values in zip(out, (doc, key, band[doc].astype(np.int8), np.clip(slack[doc], -1, 127).astype(np.int8)), strict=True):
+            column.append(values)
+    doc, key, band, slack = (np.concatenate(x) for x in out)
+    return doc, key, band, slack
+
+
+def sketches(owner: np.ndarray, h: np.ndarray, rows: int) -> list[bytes | None]:
+    """Packed parity sketch of each set, None for empty sets; owner is in order."""
+    bit = (mix(h + _U(99)) % _U(SKETCH_BITS)).astype(np.int64)
+    out: list[bytes | None] = []
+    for first in range(0, rows, 1024):
+        end = min(rows, first + 1024)
+        a, b = np.searchsorted(owner, (first, end))
+        odd = np.bincount((owner[a:b] - first) * SKETCH_BITS + bit[a:b], minlength=(end - first) * SKETCH_BITS) & 1
+        packed = np.packbits(odd.astype(np.uint8)).reshape(end - first, -1)
+        full = np.bincount(owner[a:b] - first, minlength=end - first) > 0
+        out += [row.tobytes() if any_ else None for row, any_ in zip(packed, full.tolist(), strict=True)]
+    return out
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), text_column(text_col).alias("text"))
 
 
-def set_sizes(rows: DataFrame, words: int) -> DataFrame:
-    """id, n, and a 128-bit digest (p, q) of the set for each row."""
+def profiles(rows: DataFrame, words: int) -> DataFrame:
+    """id, n, a 128-bit digest (p, q) of the set and its parity sketch for each row."""
 
     def kernel(batch):
         for first, end, raw, offsets in text_slices(batch.column(1)):
             owner, h = shingle_sets(raw, offsets, words)
-            n = np.bincount(owner, minlength=end - first)
-            p, q = np.zeros(end - first, np.uint64), np.zeros(end - first, np.uint64)
-            if len(h):
-                at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                p[owner[at]] = np.add.reduceat(mix(h + _U(1)), at)
-                q[owner[at]] = np.add.reduceat(mix(h + _U(2)), at)
-            yield {"id": batch.column(0).slice(first, end - first), "n": n, "p": p.view(np.int64), "q": q.view(np.int64)}
+            n, p, q = digests_of(owner, h, end - first)
+            yield {"id": batch.column(0).slice(first, end - first), "n": n, "p": p, "q": q, "sketch": sketches(owner, h, end - first)}
+
+    return map_batches(rows, kernel, "id bigint, n bigint, p bigint, q bigint, sketch binary")
+
+
+def digests_of(owner: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, p and q of each set; owner is in order."""
+    n = np.bincount(owner, minlength=rows)
+    p, q = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+    if len(h):
+        at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        p[owner[at]] = np.add.reduceat(mix(h + _U(1)), at)
+        q[owner[at]] = np.add.reduceat(mix(h + _U(2)), at)
+    return n, p.view(np.int64), q.view(np.int64)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Sorted numbers as compressed differences."""
+    return zstandard.compress(np.diff(values, prepend=values.dtype.type(0)).tobytes(), 1)
+
 
-    return map_batches(rows, kernel, "id bigint, n bigint, p bigint, q bigint")
+def _unpack(blob: bytes, kind) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(blob), kind), dtype=kind)
 
 
-def agreements(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, id) of blocks that two or more documents agree in. Blocks are packed and dealt by key; of equal sets in a slice only one is dealt."""
+def agreements(rows: DataFrame, words: int, percent: int, known: dict[tuple[int, int, int], int], entries: int) -> DataFrame:
+    """(key, id, band, slack) of blocks that two or more documents agree in.
+
+    Blocks go packed to units by key, with 48 bits of the key each. Of equal sets in a slice only one is dealt, and of a
+    class in `known` (those with a notable share of all rows, by their digest) only the document that stands for it.
+    entries: about how many blocks there are.
+    """
     parts = shuffle_partitions(rows.sparkSession)
+    units = parts * max(1, math.ceil(entries / UNIT_ENTRIES / parts))
 
     def emit(batch):
         for first, end, raw, offsets in text_slices(batch.column(1)):
-            ids = batch.column(0).slice(first, end - first).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).slice(first, end - first).to_numpy(zero_copy_only=False).astype(np.int64)
             owner, h = shingle_sets(raw, offsets, words)
-            n = np.bincount(owner, minlength=end - first)
             if not len(h):
                 continue
-            at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            whole = np.zeros(end - first, np.uint64)
-            whole[owner[at]] = np.add.reduceat(mix(h + _U(3)), at)
-            _, copy = repeated(n, whole)
-            keep = ~copy[owner]
-            doc, key = signatures(owner[keep], h[keep], np.where(copy, 0, n), percent)
-            part = (key >> _U(32)) * _U(parts) >> _U(32)
-            order = np.argsort(part, kind="stable")
-            part, key, doc = part[order], key[order], ids[doc[order]]
-            cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+            n, p, q = digests_of(owner, h, end - first)
+            _, out = repeated(n, p.view(np.uint64))
+            if known:
+                out |= np.array([known.get(x, i) != i for x, i in zip(zip(p.tolist(), q.tolist(), n.tolist(), strict=True), ids.tolist(), strict=True)])
+            keep = ~out[owner]
+            doc, key, band, slack = signatures(owner[keep], h[keep], np.where(out, 0, n), percent)
+            if not len(doc):
+                continue
+            unit = ((key >> _U(32)) * _U(units) >> _U(32)).astype(np.int64)
+            doc = ids[doc]
+            order = np.lexsort((doc, unit))
+            unit, key, doc, band, slack = (x[order] for x in (unit, mix(key), doc, band, slack))
+            cuts = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), len(unit))
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            low, high = key.astype(np.uint32), (key >> _U(32)).astype(np.uint16)
             yield {
-                "part": part[cuts[:-1]].astype(np.int64),
-                "keys": [key[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-                "ids": [doc[a:b].astype(np.int64).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+                "unit": unit[cuts[:-1]],
+                "keys": [low[a:b].tobytes() + high[a:b].tobytes() for a, b in spans],
+                "ids": [_pack(doc[a:b]) for a, b in spans],
+                "notes": [zstandard.compress(band[a:b].tobytes() + slack[a:b].tobytes(), 1) for a, b in spans],
             }
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
-        for batch in batches:
-            keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)]
-            ids += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-        if not keys:
-            return
-        key, doc = np.concatenate(keys), np.concatenate(ids)
-        keys.clear()
-        ids.clear()
-        order = np.argsort(key, kind="stable")
+    def meet(unit: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, ids, bands_, slacks = [], [], [], []
+        for _, packed, blob, notes in rows:
+            m = len(packed) // 6
+            keys.append(np.frombuffer(packed, np.uint32, m).astype(np.uint64) | np.frombuffer(packed, np.uint16, m, 4 * m).astype(np.uint64) << _U(32))
+            ids.append(_unpack(blob, np.int64))
+            notes = np.frombuffer(zstandard.decompress(notes), np.int8)
+            bands_.append(notes[:m])
+            slacks.append(notes[m:])
+        key, doc, band, slack = (np.concatenate(x) for x in (keys, ids, bands_, slacks))
+        order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
-        same = key[1:] == key[:-1]
-        shared = np.append(same, False) | np.append(False, same)
-        key, doc = key[shared].view(np.int64), doc[shared]
-        for at in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + (1 << 16)]), pa.array(doc[at : at + (1 << 16)])], ["key", "id"])
+        first = np.append(True, key[1:] != key[:-1])
+        at = np.flatnonzero(first)
+        size = np.diff(np.append(at, len(key)))
+        several = np.repeat(doc[at] != doc[at + size - 1], size)
+        order = order[several]
+        whole = mix(key[several] + (_U(unit) << _U(48))).view(np.int64)
+        columns = [whole, doc[several], band[order], slack[order]]
+        for at in range(0, len(whole), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in columns], ["key", "id", "band", "slack"])
 
-    dealt = map_batches(rows.where("id is not null"), emit, "part bigint, keys binary, ids binary")
-    return dealt.repartition(parts, "part").select("keys", "ids").mapInArrow(meet, "key bigint, id bigint")
+    dealt = map_batches(rows.where("id is not null"), emit, "unit bigint, keys binary, ids binary, notes binary")
+    return by_unit(dealt, "unit", meet, "key bigint, id bigint, band byte, slack byte")
 
 
 def token_sets(rows: DataFrame, words: int) -> DataFrame:
-    """id, the set as packed sorted hashes, and its parity sketch."""
+    """id, the set's digest p, and the set as packed sorted hashes."""
 
     def kernel(batch):
         for first, end, raw, offsets in text_slices(batch.column(1)):
             owner, h = shingle_sets(raw, offsets, words)
             cuts = np.searchsorted(owner, np.arange(end - first + 1))
-            sets = [np.sort(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield {"id": batch.column(0).slice(first, end - first), "tokens": [s.tobytes() for s in sets], "sketch": [sketch(s).tobytes() for s in sets]}
+            yield {"id": batch.column(0).slice(first, end - first), "p": digests_of(owner, h, end - first)[1], "tokens": [np.sort(h[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]}
 
-    return map_batches(rows, kernel, "id bigint, tokens binary, sketch binary")
+    return map_batches(rows, kernel, "id bigint, p bigint, tokens binary")
 
 
 def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the size bound and whose parity sketches are near enough; only sizes and sketches are moved for that. known: id, sketch, n."""
+    """The pairs (a, b) that pass the size bound and whose parity sketches are near enough; only sizes and sketches are moved for that. known: id, sketch, n. a may have very many partners."""
     left = known.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = known.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    met = join_split(pairs.select("a", "b").join(right, "b"), left, ["a"], heavy=heavy_keys(pairs, ["a"])).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     def kernel(batch):
-        sketches = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (2, 3)]
-        total = batch.column(4).to_numpy()
-        near = np.bitwise_count(sketches[0] ^ sketches[1]).sum(1) <= max_difference(total, percent)
-        at = pa.array(np.flatnonzero(near))
-        yield {"a": batch.column(0).take(at), "b": batch.column(1).take(at)}
+        if len(batch):
+            bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (2, 3)]
+            near = np.bitwise_count(bits[0] ^ bits[1]).sum(1) <= max_difference(batch.column(4).to_numpy(), percent)
+            at = pa.array(np.flatnonzero(near))
+            yield {"a": batch.column(0).take(at), "b": batch.column(1).take(at)}
 
-    return map_batches(met.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("total")), kernel, "a bigint, b bigint")
+    return map_batches(met.select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("total")), kernel, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. b's set goes to a, in salted groups of about GROUP_BLOCK, and is tested as it streams by."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_BLOCK).alias("salts"))
-    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.col("b").alias("id")).join(sets.select("id", "tokens"), "id")
-    leaders = salts.withColumnRenamed("a", "id").join(sets.select("id", "tokens"), "id").select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("id"), "tokens")
+    salts = F.broadcast(heavy_keys(pairs, ["a"]).select("a", F.ceil(F.col("rows") / GROUP_BLOCK).alias("salts")))  # HEAVY_KEYS rows at most
+    count = F.coalesce("salts", F.lit(1)).cast("bigint")
+    members = pairs.join(salts, "a", "left").select("a", F.pmod(F.xxhash64("b"), count).alias("salt"), F.col("b").alias("id")).join(sets, "id")
+    leaders = pairs.select("a").distinct().join(salts, "a", "left").withColumn("salts", count).join(sets.withColumnRenamed("id", "a"), "a")
+    leaders = leaders.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("id"), "tokens")
     both = leaders.unionByName(members.select("a", "salt", "id", "tokens"))
     dealt = both.repartition(shuffle_partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("id").asc_nulls_first())
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader = np.zeros(0, np.uint64)
+        own, leaders = None, []
         for batch in batches:
             a_out, b_out = [], []
-            for a, b, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                own = np.frombuffer(tokens.as_buffer(), np.uint64)
+            for a, salt, b, tokens in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                mine = np.frombuffer(tokens.as_buffer(), np.uint64)
+                if (a, salt) != own:
+                    own, leaders = (a, salt), []
                 if b is None:
-                    leader = own.copy()
-                    continue
-                at = np.searchsorted(leader, own)
-                at[at == len(leader)] = 0
-                common = int((leader[at] == own).sum()) if len(leader) else 0
-                if common and 100 * common >= percent * (len(own) + len(leader) - common):
+                    leaders.append(mine.copy())
+                elif any(_similar(x, mine, percent) for x in leaders):
                     a_out.append(a)
                     b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
@@ -264,10 +313,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(test, "a bigint, b bigint")
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if not len(a) or not len(b):
+        return False
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    common = int((a[at] == b).sum())
+    return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def pairs_across(groups: DataFrame, percent: int) -> DataFrame:
     """Pairs across components in the groups (key, id, label, n, sketch) that pass the size and sketch bounds; large groups go block against block."""
-    counts = groups.groupBy("key").agg(F.ceil(F.count("*") / GROUP_BLOCK).alias("g"))
-    placed = groups.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), "g"))
+    counts = F.broadcast(heavy_keys(groups, ["key"]).select("key", F.ceil(F.col("rows") / GROUP_BLOCK).alias("g")))  # HEAVY_KEYS rows at most
+    placed = groups.join(counts, "key", "left").withColumn("g", F.coalesce("g", F.lit(1)).cast("bigint")).withColumn("block", F.pmod(F.xxhash64("id"), "g"))
     dealt = placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "label", "n", "sketch", "block")
     dealt = dealt.repartition(shuffle_partitions(groups.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
@@ -312,50 +370,98 @@ def pairs_across(groups: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id for each row; linked if 100 * common >= percent * union."""
-    sizes, _, component = _joined(docs, id_col, text_col, words, percent)
-    return _with_components(sizes, component).withColumnRenamed("id", id_col)
+    known, _, component = _joined(docs, id_col, text_col, words, percent)
+    return _with_components(known, component).withColumnRenamed("id", id_col)
+
+
+def _with_components(known: DataFrame, component: DataFrame) -> DataFrame:
+    return known.select("id", "n").join(component, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _with_components(sizes: DataFrame, component: DataFrame) -> DataFrame:
-    return sizes.join(component, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+def _classes(known: DataFrame) -> tuple[DataFrame, dict[tuple[int, int, int], int]]:
+    """(id, rep, p, q, n) of documents that aren't the first of their class, and the first of each class with HEAVY_ROWS documents or more (HEAVY_KEYS classes at most)."""
+    keys = ["p", "q", "n"]
+    full = known.where("n > 0 and id is not null").select("id", *keys)
+    classes = staged(full.groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"))
+    heavy = heavy_keys(full, keys)
+    firsts = {(r.p, r.q, r.n): r.rep for r in classes.join(F.broadcast(heavy.select(*keys)), keys, "left_semi").collect()}
+    copies = staged(join_split(full, classes.drop("rows"), keys, heavy=heavy).where("id != rep").select("id", "rep", *keys).distinct())
+    dropped(classes)
+    return copies, firsts
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The set sizes of all rows, the class (id, rep, n) of each id, and the component of each id that has links."""
+    """The profiles of all rows, the copies (id, rep, p, q, n), and (id, component) of each id that isn't alone."""
     rows = _documents(docs, id_col, text_col)
-    sizes = checkpoint(set_sizes(rows, words))
-    classes = sizes.where("n > 0 and id is not null").groupBy("p", "q", "n").agg(F.min("id").alias("rep"))
-    member = checkpoint(sizes.where("n > 0 and id is not null").join(classes, ["p", "q", "n"]).select("id", "rep", "n").distinct())
-
-    shared = agreements(rows, words, percent).join(member.select("id", "rep"), "id").groupBy("key", "rep").agg(F.lit(1).alias("one"))
-    shared = checkpoint(shared.select("key", "rep"))
-    release(docs.sparkSession)
-    leads = shared.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    pairs = checkpoint(shared.join(leads, "key").where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
-
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = staged(token_sets(rows.join(needed, "id", "left_semi"), words))
-    release(docs.sparkSession)
-    copies = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    known = sets.select("id", "sketch", (F.octet_length("tokens") / 8).cast("bigint").alias("n"))
+    known = staged(profiles(rows, words))
+    copies, firsts = _classes(known)
+    entries = known.agg(F.sum("n")).first()[0] or 0
+    met = staged(agreements(rows, words, percent, firsts, entries // 2))
+    several = known.where("n > 0 and id is not null").select("id", "p", "q", "n").distinct().groupBy("id").count().where("count > 1").select("id")
+    several = staged(several)  # ids with several texts stand for themselves too
+    stands = copies.select("id", "rep").unionByName(several.withColumn("rep", F.col("id"))).distinct()
+    shared = met.join(stands, "id", "left").groupBy("key", F.coalesce("rep", "id").alias("id")).agg(F.min("band").alias("band"), F.min("slack").alias("slack"))
+    shared = staged(shared)
+    dropped(met)
+
+    # Of documents in hot blocks, those stay that may have partners with whom they share no other block.
+    hot = heavy_keys(shared, ["key"], HOT_KEY)
+    if not hot.isEmpty():
+        inside = shared.join(F.broadcast(hot.select("key")), "key", "left_semi")
+        few = inside.groupBy("id", "band").agg(F.count("*").alias("hot"), F.min("slack").alias("least")).where("hot <= least").select("id", "band")
+        cold = shared.join(F.broadcast(hot.select("key")), "key", "left_anti")
+        rest = staged(cold.unionByName(inside.join(few, ["id", "band"], "left_anti")))
+        dropped(shared)
+        shared = rest
+    leads = staged(shared.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1"))
+    keys = heavy_keys(shared, ["key"])
+    pairs = join_split(shared.select("key", "id"), leads, ["key"], heavy=keys).where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = staged(plausible(staged(pairs), known.select("id", "n", "sketch"), percent))
 
     # A member that many blocks put under several leaders is tested against the smallest first; mostly that settles it.
-    pairs = checkpoint(plausible(pairs, known, percent))
-    firsts = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = checkpoint(verified(firsts, sets, percent))
-    release(docs.sparkSession)
+    sets = _sets_of(rows, pairs, words)
+    firsts_of = staged(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = staged(verified(firsts_of, sets, percent))
     first = connected_components(links)
+    dropped(links)
     label = lambda end: first.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-    apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b").join(firsts, ["a", "b"], "left_anti")
+    apart = join_split(pairs.join(label("b"), "b", "left"), label("a"), ["a"], "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b").join(firsts_of, ["a", "b"], "left_anti")
 
     # Blocks of three or more documents that still hold several components.
-    labelled = shared.join(leads.where("size > 2").select("key"), "key").withColumnRenamed("rep", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    wide = join_split(shared.select("key", "id"), leads.where("size > 2").select("key"), ["key"], heavy=keys)
+    labelled = staged(wide.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
+    dropped(shared, leads)
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key")
-    groups = checkpoint(labelled.join(open_keys, "key").join(known, "id").select("key", "id", "label", "n", "sketch"))
-    more = pairs_across(groups, percent).join(firsts, ["a", "b"], "left_anti")
-    more = checkpoint(more.unionByName(apart).distinct())
-    links = links.unionByName(verified(more, sets, percent)).unionByName(copies)
-    return sizes, member, connected_components(links)
+    groups = staged(join_split(labelled, staged(open_keys), ["key"], heavy=keys).join(known.select("id", "n", "sketch"), "id").select("key", "id", "label", "n", "sketch"))
+    more = pairs_across(groups, percent).join(firsts_of, ["a", "b"], "left_anti")
+    more = staged(more.unionByName(apart).distinct())
+    dropped(groups, labelled)
+    made = sets
+    lacking = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct().join(sets.select("id").distinct(), "id", "left_anti")
+    lacking = staged(lacking)
+    if not lacking.isEmpty():
+        made = sets.unionByName(token_sets(rows.join(small_enough(lacking), "id", "left_semi"), words).select("id", "tokens"))
+    found = staged(verified(more, made, percent))
+    dropped(sets, pairs, firsts_of, more, lacking)
+
+    # The components of the first links are linked among themselves, then copies and ids with several texts.
+    both = found.unionByName(several.join(copies, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    raised = both.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    second = connected_components(raised)
+    top = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    nodes = staged(top.unionByName(second.join(first.select("id"), "id", "left_anti")))
+    dropped(found)
+    copied = join_split(copies.select("id", "rep").join(nodes.select("id"), "id", "left_anti"), nodes.select(F.col("id").alias("rep"), "component"), ["rep"], "left")
+    component = staged(nodes.unionByName(copied.select("id", F.coalesce("component", "rep").alias("component"))).distinct())
+    return known, copies, component
+
+
+def _sets_of(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The token sets of all ends of the pairs."""
+    needed = staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = staged(token_sets(rows.join(small_enough(needed), "id", "left_semi"), words).select("id", "tokens").distinct())
+    dropped(needed)
+    return sets
 
 
 def linked_pairs(sets: list[np.ndarray], left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -380,13 +486,15 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, percent: int) -> tupl
     return (i[i < j], j[i < j]) if left.all() else (i, j)
 
 
-def _links(docs: DataFrame, member: DataFrame, component: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, known: DataFrame, copies: DataFrame, component: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """All linked pairs (a, b) of class representatives. Linked ones lie in one component, so its sets are counted against each other, block against block."""
-    places = member.select(F.col("rep").alias("id"), "n").distinct().join(component, "id")
-    counts = places.groupBy("component").agg(F.count("*").alias("members"), F.ceil(F.count("*") / LINK_BLOCK).alias("g")).where("members > 1")
-    places = checkpoint(places.join(counts, "component").select("component", "id", "n", "g"))
-    sets = staged(token_sets(_documents(docs, id_col, text_col).join(places.select("id").distinct(), "id", "left_semi"), words).select("id", "tokens").dropDuplicates())
-    placed = places.join(sets, "id").where("8 * n = octet_length(tokens)").withColumn("block", F.pmod(F.xxhash64("id"), "g"))
+    keys = ["id", "p", "q", "n"]
+    places = known.where("n > 0 and id is not null").select(*keys).distinct().join(copies.select(*keys), keys, "left_anti").join(component, "id")
+    counts = staged(places.groupBy("component").agg(F.count("*").alias("members"), F.ceil(F.count("*") / LINK_BLOCK).alias("g")).where("members > 1"))
+    places = staged(join_split(places, counts, ["component"]).select("component", "id", "p", "g"))
+    needed = staged(places.select("id").distinct())
+    sets = staged(token_sets(_documents(docs, id_col, text_col).join(small_enough(needed), "id", "left_semi"), words).dropDuplicates())
+    placed = places.join(sets, ["id", "p"]).withColumn("block", F.pmod(F.xxhash64("id"), "g"))
     dealt = placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1)).alias("other"))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "tokens")
     dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
@@ -416,26 +524,27 @@ def _links(docs: DataFrame, member: DataFrame, component: DataFrame, id_col: str
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """a, b: every link between different sets, each set by the smallest id of its class, a < b."""
-    _, member, component = _joined(docs, id_col, text_col, words, percent)
-    return _links(docs, member, component, id_col, text_col, words, percent).distinct()
+    known, copies, component = _joined(docs, id_col, text_col, words, percent)
+    return _links(docs, known, copies, component, id_col, text_col, words, percent).distinct()
 
 
 def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id, n_links for each row: how many other ids it's linked with, copies included. An id with several texts has the links of each."""
-    sizes, member, component = _joined(docs, id_col, text_col, words, percent)
-    pairs = staged(_links(docs, member, component, id_col, text_col, words, percent).distinct())
-    copies = member.groupBy("rep").agg(F.count("*").alias("copies"))
+    known, copies, component = _joined(docs, id_col, text_col, words, percent)
+    pairs = staged(_links(docs, known, copies, component, id_col, text_col, words, percent).distinct())
+    size = copies.groupBy("rep").agg((F.count("*") + 1).alias("copies"))
     ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("with")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("with")))
-    others = ends.join(copies.select(F.col("rep").alias("with"), "copies"), "with").groupBy("rep").agg(F.sum("copies").alias("others"))
-    counted = member.join(copies, "rep").join(others, "rep", "left").groupBy("id").agg(F.sum(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    out = _with_components(sizes, component).join(counted, "id", "left")
+    copies = copies.select("id", "rep")
+    others = join_split(ends, size.withColumnRenamed("rep", "with"), ["with"], "left").groupBy("rep").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("others"))
+    per_class = staged(size.join(others, "rep", "full").select("rep", (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).alias("links")))
+    own = per_class.select(F.col("rep").alias("id"), "links").unionByName(join_split(copies, per_class, ["rep"]).select("id", "links"))
+    counted = own.groupBy("id").agg(F.sum("links").alias("n_links"))
+    out = _with_components(known, component).join(counted, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("bigint").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose id is the smallest of its component; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, words, percent)
-    gone = checkpoint(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct())
-    del found
-    release(docs.sparkSession)
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    _, _, component = _joined(docs, id_col, text_col, words, percent)
+    gone = staged(component.where("component != id").select(F.col("id").alias("__gone")).distinct())
+    return docs.join(small_enough(gone), F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti").select(docs.columns)

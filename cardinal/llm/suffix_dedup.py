@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardinal.llm.columnar import map_batches, mix, prefix_sums, segment_hashes, shuffle_partitions, text_column, text_slices
-from cardinal.llm.components import checkpoint
-from cardinal.llm.staging import release, staged
+from cardinal.llm.staging import staged
 from cardinal.llm.suffix_array import shares_prefix, suffix_array
 
 GRAM = 24
@@ -355,20 +354,18 @@ def _merged(starts: DataFrame) -> DataFrame:
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
     """(id, h, text, starts, bits, copy) for each row, ready for removed_runs()."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_column(text_col)).alias("h"), text_column(text_col).alias("text"))
-    digests = checkpoint(rows.where("id is not null").select("id", "h", F.sha2("text", 256).alias("d")))
+    digests = staged(rows.where("id is not null").select("id", "h", F.sha2("text", 256).alias("d")))
     least = digests.groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     copies = digests.join(least.where("n > 1"), "d").where("id > first").select("id", "h").distinct()
-    copies = checkpoint(copies.withColumn("copy", F.lit(True)))
+    copies = staged(copies.withColumn("copy", F.lit(True)))
 
     long = rows.where(f"id is not null and octet_length(text) >= {length}")
     shared = staged(shared_anchors(long, length, hot_documents).join(copies, ["id", "h"], "left_anti"))
-    release(docs.sparkSession)
     flagged = long.join(shared, ["id", "h"]).select("id", "h", "text", "anchors", "hot")
     starts = staged(resolved(flagged, length))
     if not shared.where("octet_length(hot) > 0").isEmpty():
         starts = starts.unionByName(staged(resolved_hot(flagged.where("octet_length(hot) > 0"), length)))
         starts = _merged(starts)
-    release(docs.sparkSession)
     known = starts.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "h", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("bits"), "copy"))
     return rows.join(known, ["id", "h"], "left")
 
