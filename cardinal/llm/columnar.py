@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy kernels take at once; a longer document is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch at most: they hold whole texts, or packed rows of some 10 KB.
+BATCH_ROWS = 2000
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 5)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_CODES, _MORE_CODES = (np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240229, 20250601))
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,6 +29,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of rows in an Arrow batch to BATCH_ROWS; both the JVM and Python hold a few batches for each core."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def text_column(name: str = "text"):
     """The column as text, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -37,6 +46,7 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[dict
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,12 +59,24 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[dict
     return df.mapInArrow(run, schema)
 
 
+def units_for(spark: SparkSession, size: int, target: int) -> int:
+    """A multiple of the shuffle partitions, so many that a unit has about target of size."""
+    parts = shuffle_partitions(spark)
+    return parts * max(1, -(-size // (target * parts)))
+
+
+def unit_of(h: np.ndarray, units: int) -> np.ndarray:
+    """The unit of each 64-bit hash, by its upper half."""
+    return ((h >> np.uint64(32)) * np.uint64(units) >> np.uint64(32)).astype(np.int64)
+
+
 def by_unit(df: DataFrame, unit: str, kernel: Callable[[int, list[tuple]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """Runs kernel(unit, rows) for each unit, a number from 0 in the column of that name, with all its rows.
 
     Units are dealt evenly, to the partition of their number modulo the partitions, and sorted there (Spark's sort
     spills), so that a task holds the rows of one unit at a time.
     """
+    small_batches(df.sparkSession)
     parts = shuffle_partitions(df.sparkSession)
     at = df.columns.index(unit)
 
@@ -125,10 +147,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums modulo 2**64; entry i covers raw[:i]."""
+def prefix_sums(raw: np.ndarray, again: bool = False) -> np.ndarray:
+    """Polynomial prefix sums modulo 2**64; entry i covers raw[:i]. again: with other codes for the bytes, for a second 64 bits."""
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.multiply(_BYTE_CODES[raw], powers(len(raw) + 1)[0][: len(raw)], out=sums[1:])
+    np.multiply((_MORE_CODES if again else _BYTE_CODES)[raw], powers(len(raw) + 1)[0][: len(raw)], out=sums[1:])
     np.add.accumulate(sums, out=sums)
     return sums
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardinal.llm.columnar import per_document, text_column, text_slices
+from cardinal.llm.columnar import per_document, small_batches, text_column, text_slices
 from cardinal.llm.staging import dropped, staged
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -184,6 +184,7 @@ def _fit_large(cells: DataFrame, targets: dict, temperature: float, token_share:
 
 def described(docs: DataFrame, text_col: str = "text") -> list[Column]:
     """Source, language, topic and token weight of each row."""
+    small_batches(docs.sparkSession)
     text = text_column(text_col)
     named = [F.col(d).cast("string").alias(d) if d in docs.columns else F.lit(None).cast("string").alias(d) for d in DIMENSIONS[:2]]
     topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(text)

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardinal.llm.columnar import LOWER, by_unit, map_batches, mix, prefix_sums, repeated, segment_hashes, shuffle_partitions, text_column, text_slices, word_bounds
+from cardinal.llm.columnar import LOWER, by_unit, map_batches, mix, prefix_sums, repeated, segment_hashes, shuffle_partitions, text_column, text_slices, unit_of, units_for, word_bounds
 from cardinal.llm.components import connected_components
 from cardinal.llm.staging import dropped, heavy_keys, join_split, small_enough, staged
 
@@ -47,8 +47,8 @@ SKETCH_BITS = 1024
 HOT_KEY = 1024
 #: Entries that a unit of blocks has on average; a task takes unit after unit.
 UNIT_ENTRIES = 1 << 18
-#: Members tested against one leader, or held in one block of a group, by a single task at a time.
-GROUP_BLOCK = 4096
+#: Members held in one block of a group by a single task at a time, and tested against one leader.
+GROUP_BLOCK, TEST_BLOCK = 512, 128
 #: Sets of one component in a block where all links are wanted, and tokens counted at a time.
 LINK_BLOCK, COLUMNS = 512, 8192
 
@@ -193,15 +193,13 @@ def _unpack(blob: bytes, kind) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(blob), kind), dtype=kind)
 
 
-def agreements(rows: DataFrame, words: int, percent: int, known: dict[tuple[int, int, int], int], entries: int) -> DataFrame:
-    """(key, id, band, slack) of blocks that two or more documents agree in.
+def agreements(rows: DataFrame, words: int, percent: int, entries: int) -> DataFrame:
+    """(key, id, band, slack, lead, size, members) of blocks that two or more documents agree in: lead is the smallest id there, size the number of ids, members a hash of them all.
 
-    Blocks go packed to units by key, with 48 bits of the key each. Of equal sets in a slice only one is dealt, and of a
-    class in `known` (those with a notable share of all rows, by their digest) only the document that stands for it.
-    entries: about how many blocks there are.
+    Blocks go packed to units by key, with 48 bits of the key each; a unit has all of a key, so that nothing is shuffled by
+    key again. entries: about how many blocks there are.
     """
-    parts = shuffle_partitions(rows.sparkSession)
-    units = parts * max(1, math.ceil(entries / UNIT_ENTRIES / parts))
+    units = units_for(rows.sparkSession, entries, UNIT_ENTRIES)
 
     def emit(batch):
         for first, end, raw, offsets in text_slices(batch.column(1)):
@@ -209,15 +207,8 @@ def agreements(rows: DataFrame, words: int, percent: int, known: dict[tuple[int,
             owner, h = shingle_sets(raw, offsets, words)
             if not len(h):
                 continue
-            n, p, q = digests_of(owner, h, end - first)
-            _, out = repeated(n, p.view(np.uint64))
-            if known:
-                out |= np.array([known.get(x, i) != i for x, i in zip(zip(p.tolist(), q.tolist(), n.tolist(), strict=True), ids.tolist(), strict=True)])
-            keep = ~out[owner]
-            doc, key, band, slack = signatures(owner[keep], h[keep], np.where(out, 0, n), percent)
-            if not len(doc):
-                continue
-            unit = ((key >> _U(32)) * _U(units) >> _U(32)).astype(np.int64)
+            doc, key, band, slack = signatures(owner, h, np.bincount(owner, minlength=end - first), percent)
+            unit = unit_of(key, units)
             doc = ids[doc]
             order = np.lexsort((doc, unit))
             unit, key, doc, band, slack = (x[order] for x in (unit, mix(key), doc, band, slack))
@@ -241,20 +232,22 @@ def agreements(rows: DataFrame, words: int, percent: int, known: dict[tuple[int,
             bands_.append(notes[:m])
             slacks.append(notes[m:])
         key, doc, band, slack = (np.concatenate(x) for x in (keys, ids, bands_, slacks))
-        order = np.lexsort((doc, key))
+        order = np.lexsort((slack, doc, key))
         key, doc = key[order], doc[order]
-        first = np.append(True, key[1:] != key[:-1])
-        at = np.flatnonzero(first)
+        once = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
+        order, key, doc = order[once], key[once], doc[once]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(at, len(key)))
-        several = np.repeat(doc[at] != doc[at + size - 1], size)
-        order = order[several]
+        members = np.add.reduceat(mix(doc.view(np.uint64) + _U(41)), at).view(np.int64)
+        lead, members, size = (np.repeat(x, size) for x in (doc[at], members, size))
+        several = size > 1
         whole = mix(key[several] + (_U(unit) << _U(48))).view(np.int64)
-        columns = [whole, doc[several], band[order], slack[order]]
+        columns = [whole, doc[several], band[order][several], slack[order][several], lead[several], size[several], members[several]]
         for at in range(0, len(whole), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in columns], ["key", "id", "band", "slack"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in columns], ["key", "id", "band", "slack", "lead", "size", "members"])
 
     dealt = map_batches(rows.where("id is not null"), emit, "unit bigint, keys binary, ids binary, notes binary")
-    return by_unit(dealt, "unit", meet, "key bigint, id bigint, band byte, slack byte")
+    return by_unit(dealt, "unit", meet, "key bigint, id bigint, band byte, slack byte, lead bigint, size bigint, members bigint")
 
 
 def token_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -286,8 +279,8 @@ def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. b's set goes to a, in salted groups of about GROUP_BLOCK, and is tested as it streams by."""
-    salts = F.broadcast(heavy_keys(pairs, ["a"]).select("a", F.ceil(F.col("rows") / GROUP_BLOCK).alias("salts")))  # HEAVY_KEYS rows at most
+    """The pairs (a, b) whose sets are similar enough. b's set goes to a, in salted groups of about TEST_BLOCK, and is tested as it streams by."""
+    salts = F.broadcast(heavy_keys(pairs, ["a"], TEST_BLOCK).select("a", F.ceil(F.col("rows") / TEST_BLOCK).alias("salts")))  # HEAVY_KEYS rows at most
     count = F.coalesce("salts", F.lit(1)).cast("bigint")
     members = pairs.join(salts, "a", "left").select("a", F.pmod(F.xxhash64("b"), count).alias("salt"), F.col("b").alias("id")).join(sets, "id")
     leaders = pairs.select("a").distinct().join(salts, "a", "left").withColumn("salts", count).join(sets.withColumnRenamed("id", "a"), "a")
@@ -378,45 +371,44 @@ def _with_components(known: DataFrame, component: DataFrame) -> DataFrame:
     return known.select("id", "n").join(component, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _classes(known: DataFrame) -> tuple[DataFrame, dict[tuple[int, int, int], int]]:
-    """(id, rep, p, q, n) of documents that aren't the first of their class, and the first of each class with HEAVY_ROWS documents or more (HEAVY_KEYS classes at most)."""
+def _copies(known: DataFrame) -> DataFrame:
+    """(id, rep, p, q, n) of documents that aren't the first of their class."""
     keys = ["p", "q", "n"]
     full = known.where("n > 0 and id is not null").select("id", *keys)
-    classes = staged(full.groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"))
-    heavy = heavy_keys(full, keys)
-    firsts = {(r.p, r.q, r.n): r.rep for r in classes.join(F.broadcast(heavy.select(*keys)), keys, "left_semi").collect()}
-    copies = staged(join_split(full, classes.drop("rows"), keys, heavy=heavy).where("id != rep").select("id", "rep", *keys).distinct())
+    classes = staged(full.groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    copies = staged(join_split(full, classes, keys).where("id != rep").select("id", "rep", *keys).distinct())
     dropped(classes)
-    return copies, firsts
+    return copies
+
+
+def _without_needless_hot(shared: DataFrame) -> DataFrame:
+    """shared without the documents in hot blocks whose linked partners share another block with them."""
+    hot = f"size > {HOT_KEY}"
+    if shared.where(hot).isEmpty():
+        return shared
+    inside = shared.where(hot).select("key", "id", "band", "slack")
+    few = inside.groupBy("id", "band").agg(F.count("*").alias("hot"), F.min("slack").alias("least")).where("hot <= least").select("id", "band")
+    inside = staged(inside.join(few, ["id", "band"], "left_anti"))
+    leads = staged(inside.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size"), F.col("key").alias("members")).where("size > 1"))
+    out = staged(shared.where(f"not ({hot})").unionByName(join_split(inside, leads, ["key"])))
+    dropped(shared, inside, leads)
+    return out
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The profiles of all rows, the copies (id, rep, p, q, n), and (id, component) of each id that isn't alone."""
     rows = _documents(docs, id_col, text_col)
     known = staged(profiles(rows, words))
-    copies, firsts = _classes(known)
+    copies = _copies(known)
     entries = known.agg(F.sum("n")).first()[0] or 0
-    met = staged(agreements(rows, words, percent, firsts, entries // 2))
     several = known.where("n > 0 and id is not null").select("id", "p", "q", "n").distinct().groupBy("id").count().where("count > 1").select("id")
     several = staged(several)  # ids with several texts stand for themselves too
-    stands = copies.select("id", "rep").unionByName(several.withColumn("rep", F.col("id"))).distinct()
-    shared = met.join(stands, "id", "left").groupBy("key", F.coalesce("rep", "id").alias("id")).agg(F.min("band").alias("band"), F.min("slack").alias("slack"))
-    shared = staged(shared)
-    dropped(met)
-
-    # Of documents in hot blocks, those stay that may have partners with whom they share no other block.
-    hot = heavy_keys(shared, ["key"], HOT_KEY)
-    if not hot.isEmpty():
-        inside = shared.join(F.broadcast(hot.select("key")), "key", "left_semi")
-        few = inside.groupBy("id", "band").agg(F.count("*").alias("hot"), F.min("slack").alias("least")).where("hot <= least").select("id", "band")
-        cold = shared.join(F.broadcast(hot.select("key")), "key", "left_anti")
-        rest = staged(cold.unionByName(inside.join(few, ["id", "band"], "left_anti")))
-        dropped(shared)
-        shared = rest
-    leads = staged(shared.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1"))
-    keys = heavy_keys(shared, ["key"])
-    pairs = join_split(shared.select("key", "id"), leads, ["key"], heavy=keys).where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = staged(plausible(staged(pairs), known.select("id", "n", "sketch"), percent))
+    needless = staged(copies.select("id").distinct().join(several, "id", "left_anti"))
+    shared = staged(agreements(rows.join(small_enough(needless), "id", "left_anti"), words, percent, entries // 2))
+    dropped(needless)
+    shared = _without_needless_hot(shared)
+    pairs = staged(shared.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    pairs = staged(plausible(pairs, known.select("id", "n", "sketch"), percent))
 
     # A member that many blocks put under several leaders is tested against the smallest first; mostly that settles it.
     sets = _sets_of(rows, pairs, words)
@@ -428,11 +420,11 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     apart = join_split(pairs.join(label("b"), "b", "left"), label("a"), ["a"], "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b").join(firsts_of, ["a", "b"], "left_anti")
 
     # Blocks of three or more documents that still hold several components.
-    wide = join_split(shared.select("key", "id"), leads.where("size > 2").select("key"), ["key"], heavy=keys)
-    labelled = staged(wide.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
-    dropped(shared, leads)
+    # Blocks with the same documents are one.
+    labelled = staged(shared.where("size > 2").select(F.col("members").alias("key"), "id").distinct().join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
+    dropped(shared)
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key")
-    groups = staged(join_split(labelled, staged(open_keys), ["key"], heavy=keys).join(known.select("id", "n", "sketch"), "id").select("key", "id", "label", "n", "sketch"))
+    groups = staged(join_split(labelled, staged(open_keys), ["key"]).join(known.select("id", "n", "sketch"), "id").select("key", "id", "label", "n", "sketch"))
     more = pairs_across(groups, percent).join(firsts_of, ["a", "b"], "left_anti")
     more = staged(more.unionByName(apart).distinct())
     dropped(groups, labelled)
@@ -459,7 +451,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
 def _sets_of(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The token sets of all ends of the pairs."""
     needed = staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = staged(token_sets(rows.join(small_enough(needed), "id", "left_semi"), words).select("id", "tokens").distinct())
+    sets = staged(token_sets(rows.join(small_enough(needed), "id", "left_semi"), words).select("id", "tokens"))
     dropped(needed)
     return sets
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardinal.llm.columnar import map_batches, mix, per_document, prefix_sums, repeated, segment_hashes, text_column, text_slices, word_bounds
+from cardinal.llm.columnar import map_batches, mix, per_document, prefix_sums, repeated, segment_hashes, small_batches, text_column, text_slices, word_bounds
 
 #: Documents (about) on which cost and selectivity are measured. They decide the order of the rules, nothing else.
 SAMPLE_DOCUMENTS = 256
@@ -141,7 +141,7 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
 
     found = map_batches(sample, kernel, "rule string, cost double, gone bigint").groupBy("rule").agg(F.sum("cost"), F.sum("gone")).collect()
     value = {r[0]: r[2] / max(r[1], 1e-9) for r in found}
-    return [r.name for r in sorted(rules, key=lambda r: -value.get(r.name, 0.0))] if value else [r.name for r in rules]
+    return [r.name for r in sorted(rules, key=lambda r: (-value.get(r.name, 0.0), r.name))] if value else [r.name for r in rules]
 
 
 def cascade(m: Measures, rules: list[Rule], text_of) -> np.ndarray:
@@ -181,6 +181,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
     ordered = _ordered(docs, id_col, text_col, rules)
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):
