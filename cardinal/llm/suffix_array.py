@@ -84,16 +84,23 @@ def _induce(text: np.ndarray, large: np.ndarray, buckets: _Buckets, seeds: np.nd
 
 
 def _doubling(names: np.ndarray) -> np.ndarray:
-    n, rank, step = len(names), names.astype(np.int64) + 1, 1
+    """The order of the suffixes of names by doubling; in each round only those that still share a rank are sorted. A rank is the first place of its group."""
+    n, step = len(names), 1
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    places, keys = np.arange(n), names[order]
     while True:
-        key = rank * (n + 2)
-        key[:-step] += rank[step:]
-        order = np.argsort(key, kind="stable")
-        fresh = np.append(True, key[order[1:]] != key[order[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        if fresh.all() or step >= n:
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(first, len(keys)))
+        rank[order[places]] = np.repeat(places[first], size)
+        places = places[np.repeat(size > 1, size)]
+        if not len(places):
             return order
+        own = order[places]
+        keys = rank[own] * (n + 1) + rank[np.minimum(own + step, n)] + 1
+        by = np.argsort(keys)
+        order[places], keys = own[by], keys[by]
         step *= 2
 
 
@@ -144,20 +151,27 @@ def _names(text: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     return np.append(0, np.cumsum(~same))
 
 
-def shares_prefix(raw: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Permuted common prefixes, in text order: whether each suffix has its first length bytes in common with the suffix before it in the order."""
+def common_prefixes(raw: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Permuted common prefixes, in text order: how many bytes each suffix has in common with the suffix before it in the order, counted up to most."""
     n = len(raw)
-    before = np.empty(n, np.int64)
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    before = np.full(n, n)
     before[order[1:]] = order[:-1]
-    before[order[0]] = n
-    padded = np.append(raw, np.zeros(length + 8, np.uint8))
-    longs = np.ndarray((n + length,), "<u8", padded.tobytes(), 0, (1,))
-    at = np.flatnonzero((before < n) & (np.arange(n) + length <= n))
-    at = at[before[at] + length <= n]
-    for k in [*range(0, length - 8, 8), length - 8] if length >= 8 else []:
-        at = at[longs[at + k] == longs[before[at] + k]]
-    for k in range(length if length < 8 else 0):
-        at = at[raw[at + k] == raw[before[at] + k]]
-    out = np.zeros(n, bool)
-    out[at] = True
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    longs = np.ndarray((n,), "<u8", padded.tobytes(), 0, (1,))
+    reach = np.minimum(n - np.maximum(np.arange(n), before), most)  # neither suffix goes on beyond the end
+    own, k = np.flatnonzero(reach > 0), 0
+    other, left = before[own], reach[own]
+    while len(own):
+        apart = longs[own + k] ^ longs[other + k]
+        differs = apart != 0
+        low = apart[differs] & (~apart[differs] + np.uint64(1))  # the lowest bit that differs tells the first byte
+        out[own[differs]] = np.minimum(k + np.log2(low.astype(np.float64)).astype(np.int64) // 8, left[differs])
+        k += 8
+        ended = ~differs & (left <= k)
+        out[own[ended]] = left[ended]
+        at = ~differs & ~ended
+        own, other, left = own[at], other[at], left[at]
     return out

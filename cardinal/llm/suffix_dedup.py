@@ -9,7 +9,7 @@ bytes; strings never cross documents and are judged on the input.
    those that several classes share.
 3. Runs of windows with the same shared anchor are cut out as segments and dealt out by anchor, packed, so that all equal
    windows meet in one shard. Each shard's suffix array is built by induced sorting; permuted common prefixes of `length`
-   bytes split it into groups of equal windows, and each group gives its least id, hence the windows to be removed.
+   bytes at least join it into groups of equal windows, and each group gives its least id, hence the windows to be removed.
 4. An anchor that HOT_DOCUMENTS documents have is not put into one shard: the least ids of its windows come from an
    aggregation by 128-bit window hash, with partial sums before the shuffle.
 5. The removed windows go back to their documents, and each text is cut.
@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardinal.llm.columnar import map_batches, mix, prefix_sums, segment_hashes, shuffle_partitions, text_column, text_slices
-from cardinal.llm.staging import staged
-from cardinal.llm.suffix_array import shares_prefix, suffix_array
+from cardinal.llm.columnar import by_unit, map_batches, mix, prefix_sums, segment_hashes, text_column, text_slices, unit_of, units_for
+from cardinal.llm.staging import dropped, join_split, staged
+from cardinal.llm.suffix_array import common_prefixes, suffix_array
 
 GRAM = 24
 #: Windows of a segment; one bit of a verdict for each.
 MOST_WINDOWS = 48
 SHARD_BYTES = 1 << 20
+#: Bytes of text for each unit of anchors or segments; a task takes unit after unit.
+UNIT_BYTES = 8 << 20
 #: Anchors that more documents than this have are aggregated window by window.
 HOT_DOCUMENTS = 50_000
 
@@ -72,21 +74,31 @@ def anchor_runs(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     return doc[first], least[first], at[first], count, sums
 
 
+def _joined(rows: list[tuple], kinds: tuple) -> list[np.ndarray]:
+    """The packed columns after the unit, each as one array."""
+    return [np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in enumerate(kinds, 1)]
+
+
+def _sent(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    out = _split(part, columns)
+    return pa.RecordBatch.from_arrays([pa.array(out["unit"]), *(pa.array(out[c], pa.binary()) for c in columns)], ["unit", *columns])
+
+
 def _split(part: np.ndarray, columns: dict[str, np.ndarray]) -> dict:
     """One row for each part, with the packed values of its entries."""
     order = np.argsort(part, kind="stable")
     part = part[order]
     cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-    out: dict = {"part": part[cuts[:-1]].astype(np.int64)}
+    out: dict = {"unit": part[cuts[:-1]].astype(np.int64)}
     for name, values in columns.items():
         values = values[order]
         out[name] = [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return out
 
 
-def shared_anchors(rows: DataFrame, length: int, hot_documents: int) -> DataFrame:
-    """(id, h, anchors, hot): packed anchors of a text that another text has too; hot ones apart."""
-    parts = shuffle_partitions(rows.sparkSession)
+def shared_anchors(rows: DataFrame, length: int, hot_documents: int, size: int) -> DataFrame:
+    """(id, h, anchors, hot): packed anchors of a text that another text has too; hot ones apart. size: bytes of all texts."""
+    units = units_for(rows.sparkSession, size, UNIT_BYTES)
 
     def emit(batch):
         for first, end, raw, offsets in text_slices(batch.column(2)):
@@ -104,18 +116,10 @@ def shared_anchors(rows: DataFrame, length: int, hot_documents: int) -> DataFram
             once.sort()
             doc, anchor = doc[once], anchor[once]
             if len(doc):
-                part = ((anchor & _U(0xFFFFFFFF)) * _U(parts) >> _U(32)).astype(np.int64)
-                yield _split(part, {"anchors": anchor, "ids": ids[doc].astype(np.int64), "h": h[doc].astype(np.int64)})
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed: list[list] = [[], [], []]
-        for batch in batches:
-            for k, kind in enumerate((np.uint64, np.int64, np.int64)):
-                packed[k] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)]
-        if not packed[0]:
-            return
-        anchor, ids, h = (np.concatenate(x) for x in packed)
-        packed.clear()
+                yield _split(unit_of(mix(anchor), units), {"anchors": anchor, "ids": ids[doc].astype(np.int64), "h": h[doc].astype(np.int64)})
+
+    def meet(unit: int, packed: list[tuple]) -> Iterator[pa.RecordBatch]:
+        anchor, ids, h = _joined(packed, (np.uint64, np.int64, np.int64))
         order = np.argsort(anchor, kind="stable")
         anchor, ids, h = anchor[order], ids[order], h[order]
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
@@ -123,33 +127,23 @@ def shared_anchors(rows: DataFrame, length: int, hot_documents: int) -> DataFram
         several = np.repeat(np.minimum.reduceat(h, first) != np.maximum.reduceat(h, first), size)
         hot = np.repeat(size > hot_documents, size)[several]
         anchor, ids, h = anchor[several], ids[several], h[several]
-        if not len(anchor):
-            return
-        part = (mix(ids.view(np.uint64) + _U(29)) >> _U(32)) * _U(parts) >> _U(32)
-        packed_out = _split(part.astype(np.int64), {"anchors": anchor, "hot": hot, "ids": ids, "h": h})
-        yield pa.RecordBatch.from_arrays([pa.array(packed_out["part"]), *(pa.array(packed_out[c], pa.binary()) for c in ("anchors", "hot", "ids", "h"))], ["part", "anchors", "hot", "ids", "h"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed: list[list] = [[], [], [], []]
-        for batch in batches:
-            for k, kind in enumerate((np.uint64, bool, np.int64, np.int64)):
-                packed[k] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)]
-        if not packed[0]:
-            return
-        anchor, hot, ids, h = (np.concatenate(x) for x in packed)
-        packed.clear()
+        if len(anchor):
+            yield _sent(unit_of(mix(ids.view(np.uint64) + _U(29)), units), {"anchors": anchor, "hot": hot, "ids": ids, "h": h})
+
+    def gather(unit: int, packed: list[tuple]) -> Iterator[pa.RecordBatch]:
+        anchor, hot, ids, h = _joined(packed, (np.uint64, bool, np.int64, np.int64))
         order = np.lexsort((h, ids))
         anchor, hot, ids, h = anchor[order], hot[order], ids[order], h[order]
         cuts = np.append(np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (h[1:] != h[:-1]))), len(ids))
-        for at in range(0, len(cuts) - 1, 4096):
-            ends = cuts[at : at + 4097]
+        for at in range(0, len(cuts) - 1, 1024):
+            ends = cuts[at : at + 1025]
             spans = list(zip(ends[:-1], ends[1:], strict=True))
             plain, often = ([anchor[a:b][hot[a:b] == want].tobytes() for a, b in spans] for want in (False, True))
             yield pa.RecordBatch.from_arrays([pa.array(ids[ends[:-1]]), pa.array(h[ends[:-1]]), pa.array(plain, pa.binary()), pa.array(often, pa.binary())], ["id", "h", "anchors", "hot"])
 
-    dealt = map_batches(rows, emit, "part bigint, anchors binary, ids binary, h binary").repartition(parts, "part")
-    met = dealt.select("anchors", "ids", "h").mapInArrow(meet, "part bigint, anchors binary, hot binary, ids binary, h binary").repartition(parts, "part")
-    return met.select("anchors", "hot", "ids", "h").mapInArrow(gather, "id bigint, h bigint, anchors binary, hot binary")
+    dealt = map_batches(rows, emit, "unit bigint, anchors binary, ids binary, h binary")
+    met = by_unit(dealt, "unit", meet, "unit bigint, anchors binary, hot binary, ids binary, h binary")
+    return by_unit(met, "unit", gather, "id bigint, h bigint, anchors binary, hot binary")
 
 
 def _flagged(column: pa.Array, first: int, end: int) -> np.ndarray:
@@ -183,19 +177,19 @@ def _first_of(anchor: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.append(True, (key[1:] != key[:-1]) | (anchor[1:] != anchor[:-1]))
 
 
-def resolved(rows: DataFrame, length: int) -> DataFrame:
-    """(id, h, starts, bits): packed window starts and bits of the runs that a smaller id has too. Segments go to their shard packed; of equal ones in a slice only one has its bytes."""
-    parts = shuffle_partitions(rows.sparkSession)
+def resolved(rows: DataFrame, length: int, size: int) -> DataFrame:
+    """(id, h, starts, bits): packed window starts and bits of the runs that a smaller id has too. Segments go to their shard packed; of equal ones in a slice only one has its bytes. size: bytes of all texts."""
+    units = units_for(rows.sparkSession, size, UNIT_BYTES)
 
     def emit(batch):
         for ids, h, offsets, raw, doc, anchor, start, count, sums in _flagged_runs(batch, length, 3):
             key = mix(segment_hashes(sums, start, start + count + length - 1) + _U(5))
-            part = ((mix(anchor + _U(3)) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-            order = np.lexsort((ids[doc], key, anchor, part))
-            doc, anchor, start, count, key, part = (x[order] for x in (doc, anchor, start, count, key, part))
+            unit = unit_of(mix(anchor + _U(3)), units)
+            order = np.lexsort((ids[doc], key, anchor, unit))
+            doc, anchor, start, count, key, unit = (x[order] for x in (doc, anchor, start, count, key, unit))
             first = _first_of(anchor, key)
-            out = _split(part, {"anchors": anchor, "keys": key, "ids": ids[doc].astype(np.int64), "h": h[doc].astype(np.int64), "starts": (start - offsets[doc]).astype(np.int32), "windows": count.astype(np.uint8)})
-            cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+            out = _split(unit, {"anchors": anchor, "keys": key, "ids": ids[doc].astype(np.int64), "h": h[doc].astype(np.int64), "starts": (start - offsets[doc]).astype(np.int32), "windows": count.astype(np.uint8)})
+            cuts = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), len(unit))
             out["bytes"] = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 at = np.arange(a, b)[first[a:b]]
@@ -204,39 +198,31 @@ def resolved(rows: DataFrame, length: int) -> DataFrame:
 
     kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8)
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed: list[list] = [[] for _ in kinds]
-        bodies, where, base = [], [], 0
-        for batch in batches:
-            for row in range(len(batch)):
-                own = [np.frombuffer(batch.column(k)[row].as_buffer(), kind) for k, kind in enumerate(kinds)]
-                size = np.where(_first_of(own[0], own[1]), own[5].astype(np.int64) + length - 1, 0)
-                ends = np.cumsum(size)
-                where.append(np.where(size > 0, base + ends - size, -1))
-                base += int(ends[-1])
-                bodies.append(np.frombuffer(batch.column(6)[row].as_buffer(), np.uint8))
-                for x, y in zip(packed, own, strict=True):
-                    x.append(y)
-        if not bodies:
-            return
-        anchor, key, ids, h, starts, count = (np.concatenate(x) for x in packed)
+    def shard(unit: int, packed: list[tuple]) -> Iterator[pa.RecordBatch]:
+        where, base = [], 0
+        for row in packed:
+            own = [np.frombuffer(row[k], kind) for k, kind in ((1, np.uint64), (2, np.uint64), (6, np.uint8))]
+            sizes = np.where(_first_of(own[0], own[1]), own[2].astype(np.int64) + length - 1, 0)
+            ends = np.cumsum(sizes)
+            where.append(np.where(sizes > 0, base + ends - sizes, -1))
+            base += int(ends[-1])
+        where, body = np.concatenate(where), np.frombuffer(b"".join(row[7] for row in packed), np.uint8)
+        anchor, key, ids, h, starts, count = _joined(packed, kinds)
         packed.clear()
-        body, where = np.concatenate(bodies), np.concatenate(where)
-        bodies.clear()
         order = np.lexsort((where < 0, ids, key, anchor))  # of equal segments, the one with the least id comes first, and it has its bytes
         anchor, key, ids, h, starts, count, where = (x[order] for x in (anchor, key, ids, h, starts, count, where))
         first = np.flatnonzero(_first_of(anchor, key))
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        size = count[first].astype(np.int64) + length - 1
-        reach = np.cumsum(size)
+        sizes = count[first].astype(np.int64) + length - 1
+        reach = np.cumsum(sizes)
         fresh = np.flatnonzero(np.append(True, anchor[first][1:] != anchor[first][:-1]))
         at = 0
         while at < len(first):
             far = int(np.searchsorted(reach, (reach[at - 1] if at else 0) + SHARD_BYTES, "right"))
             later = np.searchsorted(fresh, max(far, at + 1), "left")
             until = int(fresh[later]) if later < len(fresh) else len(first)
-            least = flat_least_ids(_bodies(body, where[first[at:until]], size[at:until]), size[at:until], ids[first[at:until]], length)
-            begin = np.cumsum(size[at:until]) - size[at:until]
+            least = flat_least_ids(_bodies(body, where[first[at:until]], sizes[at:until]), sizes[at:until], ids[first[at:until]], length)
+            begin = np.cumsum(sizes[at:until]) - sizes[at:until]
             low, high = first[at], first[until] if until < len(first) else len(key)
             bits = np.zeros(high - low, np.int64)
             own = group[low:high] - at
@@ -248,22 +234,15 @@ def resolved(rows: DataFrame, length: int) -> DataFrame:
                 bits[wide[gone]] |= np.int64(1) << np.int64(k)
             kept = np.flatnonzero(bits) + low
             if len(kept):
-                part = ((mix(ids[kept].view(np.uint64) + _U(29)) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-                out = _split(part, {"ids": ids[kept], "h": h[kept], "starts": starts[kept], "bits": bits[kept - low]})
-                yield pa.RecordBatch.from_arrays([pa.array(out["part"]), *(pa.array(out[c], pa.binary()) for c in ("ids", "h", "starts", "bits"))], ["part", "ids", "h", "starts", "bits"])
+                yield _sent(unit_of(mix(ids[kept].view(np.uint64) + _U(29)), units), {"ids": ids[kept], "h": h[kept], "starts": starts[kept], "bits": bits[kept - low]})
             at = until
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed: list[list] = [[], [], [], []]
-        for batch in batches:
-            for k, kind in enumerate((np.int64, np.int64, np.int32, np.int64)):
-                packed[k] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)]
-        if packed[0]:
-            yield from _by_text(*(np.concatenate(x) for x in packed))
+    def gather(unit: int, packed: list[tuple]) -> Iterator[pa.RecordBatch]:
+        yield from _by_text(*_joined(packed, (np.int64, np.int64, np.int32, np.int64)))
 
-    sent = map_batches(rows, emit, "part bigint, anchors binary, keys binary, ids binary, h binary, starts binary, windows binary, bytes binary").repartition(parts, "part")
-    met = sent.select("anchors", "keys", "ids", "h", "starts", "windows", "bytes").mapInArrow(shard, "part bigint, ids binary, h binary, starts binary, bits binary").repartition(parts, "part")
-    return met.select("ids", "h", "starts", "bits").mapInArrow(gather, "id bigint, h bigint, starts binary, bits binary")
+    sent = map_batches(rows, emit, "unit bigint, anchors binary, keys binary, ids binary, h binary, starts binary, windows binary, bytes binary")
+    met = by_unit(sent, "unit", shard, "unit bigint, ids binary, h binary, starts binary, bits binary")
+    return by_unit(met, "unit", gather, "id bigint, h bigint, starts binary, bits binary")
 
 
 def _by_text(ids: np.ndarray, h: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -271,8 +250,8 @@ def _by_text(ids: np.ndarray, h: np.ndarray, starts: np.ndarray, bits: np.ndarra
     order = np.lexsort((starts, h, ids))
     ids, h, starts, bits = ids[order], h[order], starts[order], bits[order]
     cuts = np.append(np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (h[1:] != h[:-1]))), len(ids))
-    for at in range(0, len(cuts) - 1, 4096):
-        ends = cuts[at : at + 4097]
+    for at in range(0, len(cuts) - 1, 1024):
+        ends = cuts[at : at + 1025]
         spans = list(zip(ends[:-1], ends[1:], strict=True))
         blobs = [[x[a:b].tobytes() for a, b in spans] for x in (starts, bits)]
         yield pa.RecordBatch.from_arrays([pa.array(ids[ends[:-1]]), pa.array(h[ends[:-1]]), *(pa.array(b, pa.binary()) for b in blobs)], ["id", "h", "starts", "bits"])
@@ -282,12 +261,13 @@ def hot_windows(rows: DataFrame, length: int) -> DataFrame:
     """(window, id, h, start) for each window of a hot anchor."""
 
     def kernel(batch):
-        for ids, h, offsets, _, doc, _, start, count, sums in _flagged_runs(batch, length, 4):
+        for ids, h, offsets, raw, doc, _, start, count, sums in _flagged_runs(batch, length, 4):
+            more = prefix_sums(raw, again=True)
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at, doc = np.repeat(start, count) + step, np.repeat(doc, count)
             for k in range(0, len(at), 1 << 15):
                 a, d = at[k : k + (1 << 15)], doc[k : k + (1 << 15)]
-                yield {"window": segment_hashes(sums, a, a + length).view(np.int64), "check": mix(segment_hashes(sums, a, a + length // 2) + _U(9)).view(np.int64), "id": ids[d], "h": h[d], "start": a - offsets[d]}
+                yield {"window": segment_hashes(sums, a, a + length).view(np.int64), "check": segment_hashes(more, a, a + length).view(np.int64), "id": ids[d], "h": h[d], "start": a - offsets[d]}
 
     return map_batches(rows, kernel, "window bigint, check bigint, id bigint, h bigint, start int")
 
@@ -316,7 +296,7 @@ def flat_least_ids(body: np.ndarray, size: np.ndarray, ids: np.ndarray, length:
     letters = np.zeros(len(raw), np.uint16)
     letters[place] = body.astype(np.uint16) + 1
     order = suffix_array(letters, 257)
-    shared = shares_prefix(raw, order, length)
+    shared = common_prefixes(raw, order, length) >= length
     whole = np.zeros(len(raw), bool)
     whole[place] = np.arange(len(body)) + length <= (begin + size)[owner]
     text_of = np.zeros(len(raw), np.int64)
@@ -354,18 +334,20 @@ def _merged(starts: DataFrame) -> DataFrame:
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
     """(id, h, text, starts, bits, copy) for each row, ready for removed_runs()."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_column(text_col)).alias("h"), text_column(text_col).alias("text"))
-    digests = staged(rows.where("id is not null").select("id", "h", F.sha2("text", 256).alias("d")))
-    least = digests.groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    copies = digests.join(least.where("n > 1"), "d").where("id > first").select("id", "h").distinct()
-    copies = staged(copies.withColumn("copy", F.lit(True)))
+    digests = staged(rows.where("id is not null").select("id", "h", F.sha2("text", 256).alias("d"), F.octet_length("text").alias("size")))
+    size = digests.agg(F.sum("size")).first()[0] or 0
+    least = staged(digests.groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first"))
+    copies = staged(join_split(digests.select("id", "h", "d"), least, ["d"]).where("id > first").select("id", "h").distinct().withColumn("copy", F.lit(True)))
+    dropped(digests, least)
 
     long = rows.where(f"id is not null and octet_length(text) >= {length}")
-    shared = staged(shared_anchors(long, length, hot_documents).join(copies, ["id", "h"], "left_anti"))
+    shared = staged(shared_anchors(long, length, hot_documents, size).join(copies, ["id", "h"], "left_anti"))
     flagged = long.join(shared, ["id", "h"]).select("id", "h", "text", "anchors", "hot")
-    starts = staged(resolved(flagged, length))
+    starts = staged(resolved(flagged, length, size))
     if not shared.where("octet_length(hot) > 0").isEmpty():
         starts = starts.unionByName(staged(resolved_hot(flagged.where("octet_length(hot) > 0"), length)))
         starts = _merged(starts)
+    dropped(shared)
     known = starts.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "h", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("bits"), "copy"))
     return rows.join(known, ["id", "h"], "left")
 
