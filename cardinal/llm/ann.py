@@ -6,8 +6,11 @@ put into one bucket of each table; a query looks into its own bucket and, by lea
 Candidates are ranked exactly: Euclidean distance of the original vectors in double precision.
 
 Equal vectors form a class: of a class only the k + 1 smallest ids can be among the k nearest of a query, so only those
-are put into buckets, and equal queries are searched once. Queries and rows meet by bucket; a task holds the queries of
-its buckets and streams the rows, keeping the k + 1 best of each query, so no candidate list leaves it.
+are put into buckets, and equal queries are searched once. The hashes of a bucket follow from the number of rows, the
+probes of a query from a sample: SAMPLE rows are searched exactly, and the probes are as many as it takes to find
+AIM of their neighbours. Queries and rows meet by bucket in units of about UNIT_KEYS keys, of which a task holds one at a
+time with the k + 1 best of each query, so no candidate list leaves it. A bucket of many rows is split, and queries probe
+all its parts.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do null ids;
 vectors of another length never meet; ties go to the smaller id; rows with equal ids count once; a query that finds fewer
@@ -25,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardinal.llm.columnar import map_batches, mix, shuffle_partitions
-from cardinal.llm.staging import staged
+from cardinal.llm.columnar import by_unit, map_batches, mix, shuffle_partitions, unit_of, units_for
+from cardinal.llm.staging import dropped, heavy_keys, join_split, staged
 
-#: Few tables keep the index small; many probes, on the query side only, make up for it. On unit vectors whose tenth neighbour
-#: is hardly nearer than the rest (64 dimensions, distance 1.1 against 1.4), recall is 0.95 at 500 rows and 0.99 at 10,000.
-TABLES, HASHES, PROBES, AXES = 8, 2, 1000, 48
-#: Rows of an average bucket beyond which buckets are salted.
-BUCKET_ROWS = 50_000
+#: Tables; hashes of a bucket as long as an average one has BUCKET_ROWS rows or fewer; the most probes of a table, and the signed axes among which they are looked for.
+TABLES, BUCKET_ROWS, PROBES, AXES = 16, 64, 2000, 64
+#: Rows that are searched exactly to choose the number of probes, and the recall aimed at on them.
+SAMPLE, AIM = 64, 0.96
+#: Rows of a bucket from which it is split, and rows of a part.
+HOT_ROWS = 8192
+UNIT_KEYS = 1 << 20
 PAIRS = 1 << 17
 #: Queries that meet a block of rows at a time where all rows are ranked.
 QUERY_BLOCK = 1024
@@ -75,7 +80,7 @@ def _key(table: int, codes: list[np.ndarray], axes: int) -> np.ndarray:
     return key
 
 
-def buckets(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES) -> np.ndarray:
+def buckets(vectors: np.ndarray, tables: int, hashes: int) -> np.ndarray:
     """(rows, tables) of bucket keys."""
     unit, out = unit_vectors(vectors), []
     for t in range(tables):
@@ -88,7 +93,7 @@ def buckets(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES) ->
     return np.stack(out, 1)
 
 
-def probes(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES, count: int = PROBES, axes: int = AXES) -> np.ndarray:
+def probes(vectors: np.ndarray, tables: int, hashes: int, count: int = PROBES, axes: int = AXES) -> np.ndarray:
     """(rows, tables, probes) of bucket keys, by growing loss; the first is the own bucket."""
     unit, out = unit_vectors(vectors), []
     for t in range(tables):
@@ -116,26 +121,41 @@ def _matrix(blobs: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
 
 
-def _deal(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((mix(keys.view(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
-def _dealt(keys: np.ndarray, parts: int, kind: int, ids: np.ndarray, blobs: list[bytes]) -> Iterator[dict]:
-    """For each vector and part that some of its keys belong to: one row with those keys."""
-    keys = np.ascontiguousarray(keys)
-    part = _deal(keys.ravel(), parts).reshape(keys.shape)
-    order = np.argsort(part, 1, kind="stable")
-    part, keys = np.take_along_axis(part, order, 1), np.take_along_axis(keys, order, 1)
-    for at in range(0, len(keys), 256):
-        p, k = part[at : at + 256], keys[at : at + 256]
-        fresh = np.ones(p.shape, bool)
-        fresh[:, 1:] = p[:, 1:] != p[:, :-1]
-        cuts = np.append(np.flatnonzero(fresh.ravel()), p.size)
-        row = cuts[:-1] // p.shape[1]
-        flat = k.ravel()
+def hashes_for(rows: int, size: int) -> int:
+    """Hashes of a bucket: one more while an average bucket would have over BUCKET_ROWS rows. size: components of a vector."""
+    axes, hashes = 2 << max(1, (size - 1).bit_length()), 2
+    while rows > BUCKET_ROWS * axes**hashes:
+        hashes += 1
+    return hashes
+
+
+def _split(keys: np.ndarray, hot: tuple[np.ndarray, np.ndarray], ids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) with hot buckets (keys in order, parts) split: a row goes to the part of its id, a query (without ids) to all."""
+    flat, place = keys.ravel(), np.repeat(np.arange(len(keys)), keys.shape[1])
+    if not len(hot[0]):
+        return place, mix(flat.view(np.uint64))
+    at = np.minimum(np.searchsorted(hot[0], flat), len(hot[0]) - 1)
+    parts = np.where(hot[0][at] == flat, hot[1][at], 1)
+    if ids is not None:
+        part = mix(ids.view(np.uint64))[place] % parts.astype(np.uint64)
+    else:
+        place, flat = np.repeat(place, parts), np.repeat(flat, parts)
+        part = (np.arange(len(flat)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.uint64)
+    return place, mix(flat.view(np.uint64) ^ mix(part + np.uint64(1)))
+
+
+def _dealt(place: np.ndarray, key: np.ndarray, units: int, kind: int, ids: np.ndarray, blobs: list[bytes]) -> Iterator[dict]:
+    """For each vector and unit that some of its keys belong to: one row with those keys."""
+    unit = unit_of(key, units)
+    order = np.lexsort((unit, place))
+    place, key, unit = place[order], key[order], unit[order]
+    cuts = np.append(np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (unit[1:] != unit[:-1]))), len(key))
+    for at in range(0, len(cuts) - 1, 4096):
+        ends = cuts[at : at + 4097]
+        row = place[ends[:-1]]
         yield {
-            "part": p.ravel()[cuts[:-1]], "kind": np.full(len(row), kind, np.int32), "id": ids[at + row],
-            "keys": [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "vector": pa.array([blobs[at + r] for r in row], pa.binary()),
+            "unit": unit[ends[:-1]], "kind": np.full(len(row), kind, np.int32), "id": ids[row],
+            "keys": [key[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], "vector": pa.array([blobs[r] for r in row], pa.binary()),
         }
 
 
@@ -185,86 +205,113 @@ def _packed(rows: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFra
     return map_batches(good, kernel, "id bigint, vector binary")
 
 
-def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = TABLES, hashes: int = HASHES, probe_count: int = PROBES) -> DataFrame:
+def probe_count_for(index: DataFrame, kind: str, k: int, tables: int, hashes_of: dict[int, int]) -> int:
+    """The probes of a table with which AIM of the k neighbours of SAMPLE rows are found, PROBES at most."""
+    sample = staged(index.orderBy(F.xxhash64("id")).limit(SAMPLE).select(F.col("id").alias("leader"), "vector"))
+    n = sample.count()
+    if not n:
+        return 1
+    best = Window.partitionBy("leader").orderBy("score", "vec_id")
+    near = against_all(sample, n, index, kind, k).where("leader != vec_id").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    near = near.select("leader", F.col("vec_id").alias("id")).join(index.select("id", "vector"), "id").select("leader", F.col("vector").alias("near"))
+    found = staged(near.join(sample, "leader")).select("vector", "near").collect()  # SAMPLE * k rows at most
+    dropped(sample)
+    first = []
+    for size in {len(r["vector"]) for r in found}:
+        rows = [r for r in found if len(r["vector"]) == size]
+        of = list({r["vector"]: None for r in rows})
+        listed = dict(zip(of, probes(_matrix(of, kind), tables, hashes_of[size]), strict=True))
+        own = buckets(_matrix([r["near"] for r in rows], kind), tables, hashes_of[size])
+        for r, keys in zip(rows, own, strict=True):
+            same = listed[r["vector"]] == keys[:, None]
+            first.append(int(np.where(same.any(1), same.argmax(1), PROBES).min()))
+    first = np.sort(first)
+    return int(min(PROBES, first[max(0, math.ceil(AIM * len(first)) - 1)] + 1)) if len(first) else 1
+
+
+def search(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = TABLES, probe_count: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score (distance) of the k nearest other rows of each row for which is_query (a condition on id) holds."""
+    spark = rows.sparkSession
     kind = "<f4" if rows.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
+    width = np.dtype(kind).itemsize
     packed = staged(_packed(rows, id_col, vector_col, kind).dropDuplicates(["id", "vector"]))
-    salts = max(1, packed.count() // (128**hashes * BUCKET_ROWS))
-    parts = shuffle_partitions(rows.sparkSession)
     by_class = Window.partitionBy("vector").orderBy("id")
-    index = packed.withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= k + 1)
+    index = staged(packed.withColumn("place", F.row_number().over(by_class)).where(F.col("place") <= k + 1).drop("place"))
     queries = staged(packed.where(is_query("id")))
-    leaders = queries.groupBy("vector").agg(F.min("id").alias("leader"))
+    leaders = staged(queries.groupBy("vector").agg(F.min("id").alias("leader")))
+    lengths = index.groupBy(F.octet_length("vector").alias("size")).count().collect()  # one row for each length
+    hashes_of = {r["size"]: hashes_for(r["count"], r["size"] // width) for r in lengths}
+    count = probe_count or probe_count_for(index, kind, k, tables, hashes_of)
+    n_rows, n_asked = sum(r["count"] for r in lengths), leaders.count()
+    units = units_for(spark, (n_rows + n_asked * count) * tables, UNIT_KEYS)
+
+    def all_keys(batch):
+        for at, blobs in _by_length(batch.column(0)):
+            yield {"key": buckets(_matrix(blobs, kind), tables, hashes_of[len(blobs[0])]).ravel()}
+
+    full_buckets = heavy_keys(map_batches(index.select("vector"), all_keys, "key bigint"), ["key"], HOT_ROWS).orderBy("key").collect()  # HEAVY_KEYS rows at most
+    hot = np.array([r["key"] for r in full_buckets], np.int64), np.array([-(-r["rows"] // HOT_ROWS) for r in full_buckets], np.int64)
 
     def index_keys(batch):
         ids = batch.column(0).to_numpy()
         for at, blobs in _by_length(batch.column(1)):
-            keys = buckets(_matrix(blobs, kind), tables, hashes) * salts + (ids[at] % salts)[:, None]
-            yield from _dealt(keys, parts, 1, ids[at], blobs)
+            keys = buckets(_matrix(blobs, kind), tables, hashes_of[len(blobs[0])])
+            yield from _dealt(*_split(keys, hot, ids[at]), units, 1, ids[at], blobs)
 
     def query_keys(batch):
         ids = batch.column(0).to_numpy()
-        for at, blobs in _by_length(batch.column(1)):
-            keys = probes(_matrix(blobs, kind), tables, hashes, probe_count).reshape(len(at), -1, 1) * salts + np.arange(salts)
-            yield from _dealt(keys.reshape(len(at), -1), parts, 0, ids[at], blobs)
-
-    schema = "part bigint, kind int, id bigint, keys binary, vector binary"
-    met = map_batches(leaders.select(F.col("leader").alias("id"), "vector"), query_keys, schema).unionByName(map_batches(index.select("id", "vector"), index_keys, schema))
-    dealt = met.repartition(parts, "part").sortWithinPartitions("kind")
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owner, ids, vectors, best, ready = [], [], [], [], Best(k + 1), False
-        for batch in batches:
-            asked = int((batch.column(1).to_numpy() == 0).sum())  # queries come first
-            for q, packed_keys, vector in zip(*(batch.slice(0, asked).column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                keys.append(np.frombuffer(packed_keys, np.int64))
-                owner.append(np.full(len(keys[-1]), len(ids)))
-                ids.append(q)
-                vectors.append(vector)
-            if asked == len(batch) or not ids:
-                continue
-            if not ready:
-                key, query_of = np.concatenate(keys), np.concatenate(owner)
-                order = np.argsort(key, kind="stable")
-                key, query_of, query_id, ready = key[order], query_of[order], np.array(ids, np.int64), True
-                query_size = np.array([len(v) for v in vectors])
-            rest = batch.slice(asked)
-            row_id, blobs = rest.column(2).to_numpy(), rest.column(4).to_pylist()
-            row_keys = [np.frombuffer(x, np.int64) for x in rest.column(3).to_pylist()]
-            own, row = np.concatenate(row_keys), np.repeat(np.arange(len(row_keys)), [len(x) for x in row_keys])
-            low = np.searchsorted(key, own, "left")
-            count = np.searchsorted(key, own, "right") - low
-            ends, at = np.cumsum(count), 0
-            row_size = np.array([len(b) for b in blobs])
-            while at < len(own):
-                until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-                c = count[at:until]
-                r = np.repeat(row[at:until], c)
-                q = query_of[np.repeat(low[at:until], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
-                at = until
-                pair = np.unique(r * len(query_id) + q)
-                r, q = pair // len(query_id), pair % len(query_id)
-                for size in np.unique(row_size[r]):
-                    same = (row_size[r] == size) & (query_size[q] == size)
-                    rr, qq = r[same], q[same]
-                    if len(rr):
-                        (ru, rb), (qu, qb) = np.unique(rr, return_inverse=True), np.unique(qq, return_inverse=True)
-                        d = _matrix([blobs[i] for i in ru], kind)[rb] - _matrix([vectors[i] for i in qu], kind)[qb]
-                        best.add(query_id[qq], row_id[rr], np.sqrt((d * d).sum(1)))
+        for at, blobs in _by_length(batch.column(1), 64):
+            keys = probes(_matrix(blobs, kind), tables, hashes_of[len(blobs[0])], count).reshape(len(at), -1)
+            yield from _dealt(*_split(keys, hot, None), units, 0, ids[at], blobs)
+
+    def rank(unit: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        asked, own = ([r for r in rows if r[1] == side] for side in (0, 1))
+        if not asked or not own:
+            return
+        best = Best(k + 1)
+        key = np.frombuffer(b"".join(r[3] for r in asked), np.uint64)
+        query_of = np.repeat(np.arange(len(asked)), [len(r[3]) // 8 for r in asked])
+        order = np.argsort(key, kind="stable")
+        key, query_of, query_id = key[order], query_of[order], np.array([r[2] for r in asked], np.int64)
+        row_id, row = np.array([r[2] for r in own], np.int64), np.repeat(np.arange(len(own)), [len(r[3]) // 8 for r in own])
+        own_key = np.frombuffer(b"".join(r[3] for r in own), np.uint64)
+        query_size, row_size = (np.array([len(r[4]) for r in side]) for side in (asked, own))
+        low = np.searchsorted(key, own_key, "left")
+        met = np.searchsorted(key, own_key, "right") - low
+        ends, at = np.cumsum(met), 0
+        while at < len(own_key):
+            until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            c = met[at:until]
+            r = np.repeat(row[at:until], c)
+            q = query_of[np.repeat(low[at:until], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
+            at = until
+            pair = np.unique(r * len(query_id) + q)
+            r, q = pair // len(query_id), pair % len(query_id)
+            for size in np.unique(row_size[r]):
+                same = (row_size[r] == size) & (query_size[q] == size)
+                rr, qq = r[same], q[same]
+                if len(rr):
+                    (ru, rb), (qu, qb) = np.unique(rr, return_inverse=True), np.unique(qq, return_inverse=True)
+                    d = _matrix([own[i][4] for i in ru], kind)[rb] - _matrix([asked[i][4] for i in qu], kind)[qb]
+                    best.add(query_id[qq], row_id[rr], np.sqrt((d * d).sum(1)))
         q, r, d = best.best()
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(r, pa.int64()), pa.array(d, pa.float64())], ["leader", "vec_id", "score"])
+        for first in range(0, len(q), 1 << 16):
+            part = slice(first, first + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(q[part], pa.int64()), pa.array(r[part], pa.int64()), pa.array(d[part], pa.float64())], ["leader", "vec_id", "score"])
 
-    found = dealt.mapInArrow(rank, "leader bigint, vec_id bigint, score double").groupBy("leader", "vec_id").agg(F.min("score").alias("score"))
+    schema = "unit bigint, kind int, id bigint, keys binary, vector binary"
+    both = map_batches(leaders.select(F.col("leader").alias("id"), "vector"), query_keys, schema).unionByName(map_batches(index.select("id", "vector"), index_keys, schema))
+    found = by_unit(both, "unit", rank, "leader bigint, vec_id bigint, score double").groupBy("leader", "vec_id").agg(F.min("score").alias("score"))
     near = Window.partitionBy("leader").orderBy("score", "vec_id")
     nearest = lambda rows: rows.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1).drop("place")
     top = staged(nearest(found))
     full = top.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > k)
     short = staged(leaders.join(full, "leader", "left_anti").select("leader", "vector"))
     if n_short := short.count():
-        top = top.join(short, "leader", "left_anti").unionByName(nearest(against_all(short, n_short, index, kind, k)))
-    asked = queries.join(leaders, "vector").select(F.col("id").alias("query_id"), "leader").distinct()
+        top = staged(top.join(short, "leader", "left_anti").unionByName(nearest(against_all(short, n_short, index, kind, k))))
+    asked = staged(join_split(queries, leaders, ["vector"]).select(F.col("id").alias("query_id"), "leader").distinct())
     # A query is among the k + 1 nearest of its class's leader or has k nearer or equal rows before it.
-    answers = asked.join(top, "leader").where("query_id != vec_id")
+    answers = join_split(asked, top, ["leader"]).where("query_id != vec_id")
     final = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return answers.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -303,11 +350,11 @@ def against_all(queries: DataFrame, count: int, index: DataFrame, kind: str, k:
     return dealt.mapInArrow(rank, "leader bigint, vec_id bigint, score double").groupBy("leader", "vec_id").agg(F.min("score").alias("score"))
 
 
-def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(rows, packed vectors) for the vectors of each length, a few hundred at a time."""
+def _by_length(column: pa.Array, most: int = 512) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(rows, packed vectors) for the vectors of each length, so many at a time."""
     blobs = column.to_pylist()
     size = np.array([len(b) for b in blobs], np.int64)
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
-        for k in range(0, len(at), 512):
-            yield at[k : k + 512], [blobs[i] for i in at[k : k + 512]]
+        for k in range(0, len(at), most):
+            yield at[k : k + most], [blobs[i] for i in at[k : k + most]]
