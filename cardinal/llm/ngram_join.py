@@ -12,7 +12,7 @@ Words are lower-cased (A-Z only) runs without ASCII white space; a document's se
 3. A block that very many classes share (HOT_KEY) is left out for those documents whose hot and empty blocks together are
    at most z: their linked partners agree with them in another block as well. Only the rest stay in such a group.
 4. Documents that agree in a block are paired with the smallest id there. Pairs have to pass the size bound, and their
-   1024-bit parity sketches may differ in at most D bits (the Hamming distance never exceeds the symmetric difference);
+   parity sketches (1024 bits or more, by size) may differ in at most D bits (the Hamming distance never exceeds the symmetric difference);
    only then are whole sets made and moved. Each document is tested against its smallest partner first; tests are exact.
    The links give components. Then the pairs left over, and those in a block, that still lie in several components are
    tested too, under the same bounds. Pairs within a component need no test for the components; links and link_counts
@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 
 from cardinal.llm.columnar import LOWER, by_unit, map_batches, mix, prefix_sums, repeated, segment_hashes, shuffle_partitions, text_column, text_slices, unit_of, units_for, word_bounds
 from cardinal.llm.components import connected_components
-from cardinal.llm.staging import dropped, heavy_keys, join_split, small_enough, staged
+from cardinal.llm.staging import BROADCAST_IDS, dropped, heavy_keys, join_split, small_enough, staged
 
 #: Ratio of the largest to the smallest set size of a band.
 BAND_RATIO = 1.4
 SKETCH_BITS = 1024
 #: Classes in a block from which it counts as hot.
-HOT_KEY = 1024
+HOT_KEY = 64
 #: Entries that a unit of blocks has on average; a task takes unit after unit.
 UNIT_ENTRIES = 1 << 18
 #: Members held in one block of a group by a single task at a time, and tested against one leader.
@@ -144,16 +144,38 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) ->
 
 
 def sketches(owner: np.ndarray, h: np.ndarray, rows: int) -> list[bytes | None]:
-    """Packed parity sketch of each set, None for empty sets; owner is in order."""
-    bit = (mix(h + _U(99)) % _U(SKETCH_BITS)).astype(np.int64)
+    """Packed parity sketch of each set, None for empty sets; owner is in order. A sketch has SKETCH_BITS bits, or twice the set's size rounded up to a power of two, so that long sets are told apart too."""
+    n = np.bincount(owner, minlength=rows)
+    bits = np.maximum(SKETCH_BITS, 2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    place = mix(h + _U(99)) & (bits[owner] - 1).astype(np.uint64)
+    ends = np.cumsum(bits)
     out: list[bytes | None] = []
-    for first in range(0, rows, 1024):
-        end = min(rows, first + 1024)
+    first = 0
+    while first < rows:  # about a million bits at a time
+        end = max(first + 1, int(np.searchsorted(ends, ends[first] - bits[first] + (1 << 20), "right")))
+        base = ends[first:end] - bits[first:end] - (ends[first] - bits[first])
         a, b = np.searchsorted(owner, (first, end))
-        odd = np.bincount((owner[a:b] - first) * SKETCH_BITS + bit[a:b], minlength=(end - first) * SKETCH_BITS) & 1
-        packed = np.packbits(odd.astype(np.uint8)).reshape(end - first, -1)
-        full = np.bincount(owner[a:b] - first, minlength=end - first) > 0
-        out += [row.tobytes() if any_ else None for row, any_ in zip(packed, full.tolist(), strict=True)]
+        odd = np.bincount(base[owner[a:b] - first] + place[a:b].astype(np.int64), minlength=int(bits[first:end].sum())) & 1
+        packed = np.packbits(odd.astype(np.uint8))
+        out += [packed[x // 8 : (x + size) // 8].tobytes() if some else None for x, size, some in zip(base.tolist(), bits[first:end].tolist(), n[first:end].tolist(), strict=True)]
+        first = end
+    return out
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (last axis) of a smaller size: bits that fall together are XORed."""
+    return sketch if sketch.shape[-1] == words else np.bitwise_xor.reduce(sketch.reshape(*sketch.shape[:-1], -1, words), axis=-2)
+
+
+def sketch_distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Hamming distance of each pair of sketches, at the smaller size of the two; never more than the sets' symmetric difference."""
+    sizes = np.array([(len(a), len(b)) for a, b in zip(left, right, strict=True)]).reshape(-1, 2)
+    out = np.zeros(len(left), np.int64)
+    for a, b in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes[:, 0] == a) & (sizes[:, 1] == b))
+        x, y = (np.frombuffer(b"".join(side[i] for i in at), np.uint64).reshape(len(at), -1) for side in (left, right))
+        words = min(x.shape[1], y.shape[1])
+        out[at] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(1)
     return out
 
 
@@ -270,8 +292,7 @@ def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
     def kernel(batch):
         if len(batch):
-            bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (2, 3)]
-            near = np.bitwise_count(bits[0] ^ bits[1]).sum(1) <= max_difference(batch.column(4).to_numpy(), percent)
+            near = sketch_distances(batch.column(2).to_pylist(), batch.column(3).to_pylist()) <= max_difference(batch.column(4).to_numpy(), percent)
             at = pa.array(np.flatnonzero(near))
             yield {"a": batch.column(0).take(at), "b": batch.column(1).take(at)}
 
@@ -282,21 +303,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. b's set goes to a, in salted groups of about TEST_BLOCK, and is tested as it streams by."""
     salts = F.broadcast(heavy_keys(pairs, ["a"], TEST_BLOCK).select("a", F.ceil(F.col("rows") / TEST_BLOCK).alias("salts")))  # HEAVY_KEYS rows at most
     count = F.coalesce("salts", F.lit(1)).cast("bigint")
-    members = pairs.join(salts, "a", "left").select("a", F.pmod(F.xxhash64("b"), count).alias("salt"), F.col("b").alias("id")).join(sets, "id")
-    leaders = pairs.select("a").distinct().join(salts, "a", "left").withColumn("salts", count).join(sets.withColumnRenamed("id", "a"), "a")
-    leaders = leaders.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("id"), "tokens")
-    both = leaders.unionByName(members.select("a", "salt", "id", "tokens"))
-    dealt = both.repartition(shuffle_partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("id").asc_nulls_first())
+    members = pairs.join(salts, "a", "left").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), count).alias("salt"), F.lit(1).alias("member"))
+    leaders = pairs.select("a").distinct().join(salts, "a", "left").withColumn("salts", count)
+    leaders = leaders.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
+    both = sets.join(small_enough(staged(leaders.unionByName(members)), BROADCAST_IDS // 4), "id").select("a", "salt", "member", "id", "tokens")  # each set moves once
+    dealt = both.repartition(shuffle_partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member", "id")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, leaders = None, []
         for batch in batches:
             a_out, b_out = [], []
-            for a, salt, b, tokens in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+            for a, salt, member, b, tokens in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
                 mine = np.frombuffer(tokens.as_buffer(), np.uint64)
                 if (a, salt) != own:
                     own, leaders = (a, salt), []
-                if b is None:
+                if not member:
                     leaders.append(mine.copy())
                 elif any(_similar(x, mine, percent) for x in leaders):
                     a_out.append(a)
@@ -325,7 +346,11 @@ def pairs_across(groups: DataFrame, percent: int) -> DataFrame:
 
     def compare(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         ids, labels, n = (np.array([x[k] for x in group]) for k in (3, 4, 5))
-        words = np.frombuffer(b"".join(x[6] for x in group), np.uint64).reshape(len(group), -1)
+        size = np.array([len(x[6]) // 8 for x in group])
+        words = {m: np.frombuffer(b"".join(x[6] for x in group if len(x[6]) // 8 == m), np.uint64).reshape(-1, m) for m in set(size.tolist())}
+        place = np.zeros(len(group), np.int64)  # among the sketches of its size
+        for m in words:
+            place[size == m] = np.arange((size == m).sum())
         i, j, block = group[0][1], group[0][2], np.array([x[7] for x in group])
         left, right = [], []
         for row in range(len(group) - 1):
@@ -335,7 +360,11 @@ def pairs_across(groups: DataFrame, percent: int) -> DataFrame:
                 near &= block[rest] != block[row]
             at = np.flatnonzero(near) + row + 1
             if len(at):
-                apart = np.bitwise_count(words[at] ^ words[row]).sum(1)
+                apart, own = np.zeros(len(at), np.int64), words[int(size[row])][place[row]]
+                for m in set(size[at].tolist()):
+                    of = size[at] == m
+                    least = min(m, len(own))
+                    apart[of] = np.bitwise_count(_folded(words[m][place[at[of]]], least) ^ _folded(own, least)).sum(1)
                 at = at[apart <= max_difference(n[at] + n[row], percent)]
                 left.append(np.full(len(at), ids[row]))
                 right.append(ids[at])
