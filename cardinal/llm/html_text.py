@@ -6,7 +6,8 @@ says which blocks are the article's. Character references are decoded once, whit
 space, empty blocks go, and the blocks that stay are joined in page order by a line feed. Nothing is capped.
 
 Edge cases: null or empty html gives an empty text; markup that is never closed ends with the page, and so does an open
-comment or element whose content is no markup (script, style, noscript, template, textarea, iframe, title); an open button,
+comment or element whose content is no markup (script, style, noscript, template, textarea, iframe, title); the head ends at the first text or element
+that can't stand in it, whether it is closed or not; an open button,
 list of options, drawing, formula, object or canvas ends with the element around it, or where an article begins; repeated rows give repeated results; only the three named columns are read.
 """
 
@@ -31,6 +32,7 @@ RAW_NAMES = frozenset(RAW.split("|"))
 #: Elements with markup inside whose text is never shown as part of an article.
 UNSEEN = frozenset("svg object math canvas select option optgroup datalist button".split())
 #: Elements without an end tag; start tags that end an open drawing or formula, unless one of the third kind is open in it.
+HEAD = frozenset("base basefont bgsound link meta".split())  # what can stand in the head, besides elements whose content is no markup
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKOUT = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 INTEGRATION = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
@@ -45,7 +47,7 @@ CHROME_WORDS = frozenset(
 )
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>%s)(?=[\s/>])(?!\s*/>)(?:[^>"']+|"[^"]*"|'[^']*')*+(?<![\s"']/)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?/a-z][^>]*>""" % RAW, re.I | re.S)  # noqa: UP031
-_NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMED = re.compile(r"""(?<![\w:.-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s/=]|$)(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SELF_CLOSED = re.compile(r"""(?:^|[\s"']|\s[^\s=]+)/\Z""")
 _PARTS = re.compile(r"[a-z0-9]+")
@@ -236,6 +238,8 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
 
     for m in _TAG.finditer(page):
+        if in_head and not page[at : m.start()].isspace() and m.start() > at:
+            in_head = False  # text can't stand in the head: the body has begun
         if m.start() > at and not in_head and not unseen:
             parts.append((page[at : m.start()], in_link > 0))
         at = m.end()
@@ -245,6 +249,8 @@ def blocks(page: str) -> list[Block]:
         name, closing = name.lower(), bool(m["close"])
         if name in RAW_NAMES:  # self-closed, or a stray end
             continue
+        if in_head and not closing and name not in HEAD and name != "html":
+            in_head = False
         if name in ("head", "body", "html"):
             unseen.clear()
         elif unseen and closing and name in unseen:
@@ -291,7 +297,7 @@ def blocks(page: str) -> list[Block]:
             else:
                 loose[name] += name not in VOID
                 marked = [x for x in marked if x != name] + [name] * _marked(m["rest"])
-    if at < len(page) and not in_head and not unseen:
+    if at < len(page) and not (in_head and page[at:].isspace()) and not unseen:
         parts.append((page[at:], in_link > 0))
     flush()
     return out
