@@ -36,8 +36,9 @@ def resolve_alias(text: Column) -> Column:
 
 def candidate_names(text: Column) -> Column:
     """Spellings to look up, in order, without repeats."""
+    text = F.trim(text)
     alias = resolve_alias(text)
-    return F.array_distinct(F.array(alias, text, F.translate(text, "-", "_"), F.translate(text, "_", "-"), F.translate(text, " ", "_"), F.translate(text, " ", "-"), F.lower(text), F.upper(text)))
+    return F.array_distinct(F.array(alias, text, F.translate(text, "-", "_"), F.translate(text, "_", "-"), F.translate(text, " ", "_"), F.translate(text, " ", "-")))
 
 
 def first_target(text: Column) -> Column:

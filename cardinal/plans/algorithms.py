@@ -53,6 +53,8 @@ def hcakc(x: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def pso(x: np.ndarray, sizes: np.ndarray, seed: int = 1, particles: int = 40, rounds: int = 20, signed: bool = True) -> np.ndarray:
     """Random keys in [0, 1]^n, decoded by rank; the swarm lowers the sum of distances within clusters."""
+    if not np.isfinite(x).all():
+        raise ValueError("features must be finite numbers")
     rng, d, k = np.random.default_rng(seed), K.cosine_matrix(x, signed=signed), len(sizes)
     w, c = 1 / (2 * np.log(2)), 0.5 + np.log(2)
     at, speed = rng.random((particles, len(x))), rng.random((particles, len(x))) - 0.5
@@ -83,7 +85,7 @@ def score(d: np.ndarray, label: np.ndarray, sizes: np.ndarray, penalty: float) -
 def bat(x: np.ndarray, sizes: np.ndarray, seed: int = 1521, bats: int = 30, rounds: int = 20, loudness: float = 0.5, pulse: float = 0.5, alpha: float = 0.9, gamma: float = 0.9, signed: bool = True) -> np.ndarray:
     """Bats start feasible; the first one's labels are the first best. A move is kept if it scores better and the bat is loud enough; the distances are computed once."""
     rng, d, k = np.random.default_rng(seed), K.cosine_matrix(x, signed=signed), len(sizes)
-    flock = [[start(x, sizes, rng, 1), loudness, pulse] for _ in range(bats)]
+    flock = [[start(x, sizes, rng), loudness, pulse] for _ in range(bats)]
     best, top = flock[0][0], score(d, flock[0][0], sizes, 10)
     for t in range(1, rounds + 1):
         for b in flock:
@@ -101,7 +103,7 @@ def bat(x: np.ndarray, sizes: np.ndarray, seed: int = 1521, bats: int = 30, roun
     return best
 
 
-def aco_restart(x: np.ndarray, d: np.ndarray, sizes: np.ndarray, seed: int, starts: int = 1, rounds: int = 10) -> tuple[float, np.ndarray]:
+def aco_restart(x: np.ndarray, d: np.ndarray, sizes: np.ndarray, seed: int, starts: int = 5, rounds: int = 30) -> tuple[float, np.ndarray]:
     """One ant: k-means, random repair, a tenth of the rows relabelled, then repair to the exact sizes; (score, labels). Ants know nothing of each other."""
     rng, k = np.random.default_rng(seed), len(sizes)
     label = K.kmeans(x, k, rng, starts, rounds)
@@ -116,6 +118,6 @@ def aco(x: np.ndarray, sizes: np.ndarray, seed: int = 1, ants: int = 50, rounds:
     return max((aco_restart(x, d, sizes, seed + i) for i in range(ants * rounds)), key=lambda r: r[0])[1]
 
 
-#: Menu numbers of the benchmark.
-ALGORITHMS = {1: ("ACO", aco), 2: ("BAT", bat), 3: ("CSCLP", csclp), 4: ("HCAKC", hcakc), 5: ("KM-MILP", km_milp), 6: ("KMEDOIDS", kmedoids), 7: ("PSO", pso), 8: ("SCK1", sck1)}
+#: The menu numbers.
+ALGORITHMS = {1: ("BAT", bat), 2: ("CSCLP", csclp), 3: ("KMEDOIDS", kmedoids), 4: ("ACO", aco), 5: ("PSO", pso), 6: ("HCAKC", hcakc), 7: ("KM-MILP", km_milp), 8: ("SCK1", sck1)}
 BY_NAME = dict(ALGORITHMS.values())

@@ -50,8 +50,12 @@ def run(spark: SparkSession, catalog: DataFrame, datasets_dir: str, names: list[
             sample, meta = sample_one(spark, catalog, datasets_dir, query, max_rows, seed)
             base = f"{output_dir}/{meta['resolved_dataset_id']}"
             sample.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}.csv")
-            sample.write.mode("overwrite").parquet(f"{base}.parquet")
-            summary.append(meta | {"csv_path": f"{base}.csv", "parquet_path": f"{base}.parquet", "error": None})
+            try:
+                sample.write.mode("overwrite").parquet(f"{base}.parquet")
+                parquet = f"{base}.parquet"
+            except Exception:  # the CSV is the result; Parquet is a copy where it can be written
+                parquet = None
+            summary.append(meta | {"csv_path": f"{base}.csv", "parquet_path": parquet, "error": None})
         except ValueError as e:
             summary.append({"query": query, "error": str(e)})
     schema = (

@@ -49,12 +49,19 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def id_column(columns: list[str]) -> str | None:
-    return next((c for c in ("did", "data_id", "id") if c in columns), None)
+def id_column(columns: list[str]) -> str:
+    return _first_of(columns, ("did", "data_id", "dataset_id"))
 
 
-def name_column(columns: list[str]) -> str | None:
-    return next((c for c in ("name", "dataset_name") if c in columns), None)
+def name_column(columns: list[str]) -> str:
+    return _first_of(columns, ("name", "data_name"))
+
+
+def _first_of(columns: list[str], names: tuple[str, ...]) -> str:
+    for name in names:
+        if name in columns:
+            return name
+    raise ValueError(f"none of {', '.join(names)} is a column")
 
 
 def catalog_scan(catalog: DataFrame, features=(4, 6), instances=(150, 250), classes=(2, 3)) -> DataFrame:

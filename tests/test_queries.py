@@ -57,6 +57,85 @@ def test_empty_cluster_and_ties(spark):
     assert out == {0: 1, 1: 1, 2: 3, 3: 3, 4: 3}
 
 
+def test_global_rank_with_carried_columns(spark, tmp_path):
+    n, parts = 3_000_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        df = spark.range(n, numPartitions=8).select((F.xxhash64("id") % 1000).alias("a"), "id", F.concat(F.lit("carried "), F.col("id")).alias("text"))
+        global_rank(df, F.col("a"), F.col("id")).write.parquet(f"{tmp_path}/ranked")
+        ranked = spark.read.parquet(f"{tmp_path}/ranked")
+        assert ranked.agg(F.count("*"), F.min("rn"), F.max("rn"), F.countDistinct("rn")).first() == (n, 1, n, n)
+        both = ranked.select("rn", F.struct("a", "id").alias("k")).where("rn % 1000 < 2")
+        pairs = both.alias("x").join(both.alias("y"), F.expr("x.rn + 1 = y.rn"))
+        assert pairs.count() == n // 1000 - 1 and pairs.where("x.k >= y.k").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_global_rank_edges(spark):
+    empty = spark.createDataFrame([], "v bigint, w string")
+    assert global_rank(empty, F.col("v")).count() == 0
+    few = spark.createDataFrame([(None, "b"), (2, "a"), (None, "a"), (1, None), (1, "x")], "v bigint, w string")
+    assert [tuple(r) for r in global_rank(few, F.col("v"), F.col("w")).orderBy("rn").collect()] == [(None, "a", 1), (None, "b", 2), (1, None, 3), (1, "x", 4), (2, "a", 5)]
+
+
+def test_menu_writes_predictions_and_a_log(spark, tmp_path):
+    rows = [(0, "set0", i, [float(i % 3), float(i)], 1 + i % 2) for i in range(8)]
+    datasets = spark.createDataFrame(rows, "data_id bigint, name string, row_id bigint, x array<double>, y_code bigint")
+    out = runner.execute(datasets, 6, str(tmp_path)).collect()
+    assert [r["algorithm"] for r in out] == ["HCAKC"] and out[0]["hyperparams"]["seed"] == "0"
+    back = tables.read_predictions(spark, f"{tmp_path}/pred_HCAKC.csv").collect()
+    assert [(r["algorithm"], r["ARI"]) for r in back] == [("HCAKC", out[0]["ARI"])]
+    log = spark.read.parquet(f"{tmp_path}/resource_log").first()
+    assert log["Algoritmo"] == "HCAKC" and log["Elapsed_Time_sec"] > 0 and log["Peak_RAM_Used_MiB"] > 0
+    assert [runner.ALGORITHMS[n][0] for n in range(1, 9)] == ["BAT", "CSCLP", "KMEDOIDS", "ACO", "PSO", "HCAKC", "KM-MILP", "SCK1"]
+
+
+def test_catalog_to_datasets(spark, tmp_path):
+    for k, classes in ((1, 3), (2, 2), (3, 2), (4, 2)):
+        data = [(i, float(i), float(i % 7), float(i % 5), float(i % 3), str(i % classes)) for i in range(160 if k != 3 else 170)]
+        if k != 4:
+            spark.createDataFrame(data, "row_id bigint, a double, b double, c double, d double, class string").write.parquet(f"{tmp_path}/{k}.parquet")
+    catalog = spark.createDataFrame([(1, 1, "one", 3, 160, 4, 0, 0), (2, 2, "two", 3, 161, 4, 0, 0), (3, 3, "three", 2, 170, 4, 0, 0), (4, 4, "four", 2, 180, 4, 0, 0), (5, 5, "big", 2, 999, 4, 0, 0)],
+        "ord bigint, data_id bigint, name string, NumberOfClasses int, NumberOfInstances int, NumberOfFeatures int, NumberOfSymbolicFeatures int, NumberOfMissingValues int")
+    found = runner.load_datasets(spark, catalog, str(tmp_path))
+    assert {tuple(r) for r in found.groupBy("data_id", "name").count().collect()} == {(1, "one", 160), (3, "three", 170)}
+    assert runner.run(found, ["HCAKC"]).where("error is null").count() == 2
+
+
+#: Contingency tables of published labellings, with their ARI, AMI and NMI.
+PUBLISHED = [
+    ([[44, 3, 3], [4, 37, 9], [2, 10, 38]], 0.486710204081633, 0.433855467465025, 0.440853075155304),
+    ([[31, 88], [88, 43]], 0.163114039257262, 0.123629706187536, 0.126177994695471),
+    ([[132, 12, 6], [10, 23, 2], [8, 0, 22]], 0.490383419060191, 0.35939665931007, 0.366986173192086),
+    ([[50, 0, 0], [0, 47, 3], [0, 3, 47]], 0.885665306122449, 0.860546511692628, 0.86227017189976),
+    ([[61, 58], [58, 73]], 0.00118585889242056, 0.000622231051561558, 0.00352819774358502),
+    ([[54, 65], [65, 66]], -0.00241254511568703, -0.00161282579036666, 0.00129963994630161),
+    ([[150, 0, 0], [0, 35, 0], [0, 0, 30]], 1, 1, 1),
+]
+
+
+@pytest.mark.parametrize("published", PUBLISHED)
+def test_metrics_equal_published_scores(spark, published):
+    import numpy as np
+
+    from cardinal.operators.metrics import scores
+
+    cells, ari, ami, nmi = published
+    y, c = (np.array(x) for x in zip(*((i, j) for i, row in enumerate(cells) for j, n in enumerate(row) for _ in range(n)), strict=True))
+    ours = scores(y, c)
+    assert (ours[0], ours[2]) == pytest.approx((ari, nmi), abs=1e-12) and ours[1] == pytest.approx(ami, abs=1e-7)
+    df = spark.createDataFrame(list(zip(y.tolist(), c.tolist(), strict=True)), "y int, cluster int")
+    assert metrics.ari(df).first()[0] == pytest.approx(ari, abs=1e-9) and metrics.nmi(df).first()[0] == pytest.approx(nmi, abs=1e-9)
+    assert metrics.ami(df).first()[0] == pytest.approx(ami, abs=1e-7)
+
+
+def test_id_and_name_columns():
+    assert tables.id_column(["x", "dataset_id", "data_id"]) == "data_id" and tables.name_column(["data_name"]) == "data_name"
+    with pytest.raises(ValueError):
+        tables.id_column(["id"])
+
+
 def test_global_rank(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v"))
     assert all(r["rn"] == r["v"] + 1 for r in global_rank(df, F.col("v")).collect())
