@@ -2,17 +2,27 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Every stage takes nulls in any column, empty texts, repeated rows, ties, empty tables and further columns, which are kept:
+
+* quality rules: a null or empty text has too few words and goes; repeated rows share their fate.
+* near duplicates: rows that share an id are one document and stay or go together; a null id stays; a text without words
+  has no duplicates.
+* secret scans: a null text stays null.
+* mixing sources: null sources, languages and topics are values of their own; rows are drawn by a hash of the id, or of the
+  text where the id is null. The topic is a stand-in, the text's shape.
+* tokenising: a null text has no tokens.
+
+The folder of a stage is removed as soon as the next one is written.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cardinal.llm import bpe, mixing, ngram_join, quality, secrets
-from cardinal.llm.staging import shared_folder
+from cardinal.llm.staging import dropped, staged
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -55,11 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        after = staged(stage(spark, docs, sf_dir))
+        if before is not None:
+            dropped(before)
+        docs = before = after
+    return STAGES[-1][1](spark, docs, sf_dir)
