@@ -11,6 +11,34 @@ from tests.llm.test_operators import grouped
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    words = [" ".join(f"word{(i * 37 + k * k) % 5000}x{k % 17}" for k in range(90)) for i in range(6)]
+    texts = [None, "", " \n", words[0], words[0], words[0].upper(), words[1] + " password=hunter22", words[2], words[3], words[3], "short", words[4]]
+    ids = [0, 1, 2, 3, 4, 5, 6, None, 8, 8, 9, 10]
+    rows = [(i, t, ["en", None][k % 2], ["a", None, "b"][k % 3], len(t or ""), "r", "probability", k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, key string, p int"
+    for part, given in (("odd", rows), ("none", [])):
+        spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{part}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{part}/documents.parquet")
+        seen = []
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, f"{tmp_path}/{part}")
+            if len(seen) < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+                path = f"{tmp_path}/{part}/{len(seen)}"
+                out.write.parquet(path)
+                docs = spark.read.parquet(path)
+                seen.append(docs.collect())
+        assert out.count() == len(seen[-1])
+        if given:
+            assert sorted(str(r["doc_id"]) for r in seen[0]) == ["10", "3", "4", "6", "8", "8", "None"]  # 5 is all capitals
+            assert sorted(str(r["doc_id"]) for r in seen[1]) == ["10", "3", "6", "8", "8", "None"]
+            assert [r["text"] for r in seen[2] if r["doc_id"] == 6] == [words[1] + " [SECRET]"]
+            assert {r["doc_id"] for r in seen[3]} <= {r["doc_id"] for r in seen[2]}
+        else:
+            assert not any(seen)
+
+
 def test_stages(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
