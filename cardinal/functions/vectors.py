@@ -14,6 +14,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1; null for a zero vector."""
+    length = norm(a)
+    return F.when(length > 0, F.transform(a, lambda v: v / length))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cardinal.functions import text as T
 from cardinal.functions.ranking import global_rank
-from cardinal.operators import buckets, catalog, metrics, pairs, prepare, sampling
+from cardinal.operators import buckets, catalog, centroids, metrics, pairs, prepare, sampling
 from cardinal.plans import queries, runner
 from cardinal.sources import tables
 
@@ -195,6 +195,35 @@ def test_unsigned_silhouette_equals_pairs(spark, data):
     assert small.count() == 60 * 59 // 2
 
 
+def test_many_points_in_blocks(spark, data, monkeypatch):
+    rows = tables.embeddings(spark, data).where("row_id < 60")
+    labelled = rows.withColumn("cluster", F.col("y"))
+
+    def found():
+        points = queries.first_rows(rows)
+        near = centroids.nearest(rows, points, digits=9).drop("x")
+        own = rows.withColumn("own", F.col("y") + 1)
+        simple = centroids.simplified_silhouette(own, centroids.means(own, "own").withColumnRenamed("own", "cluster"))
+        frames = near, centroids.distances(rows, points, digits=9).drop("x"), simple.withColumn("s", F.round("s", 9)), pairs.silhouette(labelled).withColumn("s", F.round("s", 9))
+        return [sorted(map(tuple, f.collect())) for f in frames]
+
+    expected = found()
+    monkeypatch.setattr(centroids, "POINTS", 3)
+    assert found() == expected and len(expected[0]) == 60
+
+
+def test_vectors_without_direction(spark):
+    made = [(0, [0.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 1.0], 2), (4, [0.0, 0.0], 3)]
+    rows = spark.createDataFrame(made, "row_id bigint, x array<double>, cluster bigint")
+    points = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 3.0])], "cluster bigint, centroid array<double>")
+    near = {r["row_id"]: (r["cluster"], r["d"]) for r in centroids.nearest(rows.drop("cluster"), points).collect()}
+    assert near == {0: (None, None), 1: (2, 1.0), 2: (2, 1.0), 3: (2, 0.0), 4: (None, None)}
+    assert {r["row_id"]: r["s"] for r in pairs.silhouette(rows).collect()} == {0: None, 1: 1.0, 2: 1.0, 3: 0.0, 4: None}
+    assert {r["cluster"]: r["cost"] for r in pairs.within_cost(rows).collect()} == {1: 0.0, 2: 0.0}
+    none = centroids.nearest(rows.drop("cluster"), points.limit(0)).collect()
+    assert len(none) == 5 and all(r["cluster"] is None for r in none)
+
+
 def test_metrics_on_unequal_sizes(spark):
     df = spark.createDataFrame([(a, b) for a, b in zip([0, 0, 0, 1, 1, 1], [0, 0, 1, 1, 2, 2], strict=True)], "y int, cluster int")
     from cardinal.operators.metrics import scores
