@@ -7,7 +7,7 @@ The score is how freely a text may be used, from 0 (no licence found, or all rig
 OR takes the freer side, AND and several findings take the stricter one, WITH lifts a copyleft licence half-way.
 
 Edge cases: a null or empty text has no words, null first_word and last_word, empty labels and score 0; a broken
-expression gives the labels of its known identifiers and no score; repeated rows give repeated results; only the id and
+expression gives the labels of its known identifiers and no score, an unknown identifier the label "other"; repeated rows give repeated results; only the id and
 the text are read; texts are read whole.
 """
 
@@ -30,12 +30,18 @@ MORE_PHRASES = {
     "all rights reserved": "proprietary", "isc license": "isc", "eclipse public license": "epl", "boost software license": "bsl",
 }
 TAG = "spdx license identifier"
+#: Licence families and how freely a text under them may be used.
 FREEDOM = {
-    "public-domain": 1.0, "cc0": 1.0, "mit": 0.9, "bsd": 0.9, "isc": 0.9, "bsl": 0.9, "apache": 0.9, "cc-by": 0.8, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "cc-by-sa": 0.5,
-    "gpl": 0.3, "agpl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "proprietary": 0.0,
+    "public-domain": 1.0, "cc0": 1.0, "pddl": 1.0, "mit": 0.9, "bsd": 0.9, "isc": 0.9, "bsl": 0.9, "apache": 0.9, "zlib": 0.9, "x11": 0.9, "ncsa": 0.9, "postgresql": 0.9,
+    "psf": 0.9, "wtfpl": 0.9, "upl": 0.9, "unicode": 0.9, "curl": 0.9, "hpnd": 0.9, "mulanpsl": 0.9, "libpng": 0.9, "w3c": 0.9, "afl": 0.8, "cc-by": 0.8, "ofl": 0.8, "odc-by": 0.8,
+    "ms-pl": 0.8, "php": 0.8, "ruby": 0.8, "vim": 0.8, "zpl": 0.8, "openssl": 0.8, "artistic": 0.7, "mpl": 0.6, "epl": 0.6, "cddl": 0.6, "cpl": 0.6, "lgpl": 0.5, "cc-by-sa": 0.5,
+    "eupl": 0.5, "ms-rl": 0.5, "odbl": 0.5, "gfdl": 0.4, "osl": 0.4, "cecill": 0.3, "gpl": 0.3, "agpl": 0.2, "sspl": 0.2, "busl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "proprietary": 0.0,
 }
-_FAMILIES = (("cc-by-nc", "cc-by-nc"), ("cc-by-nd", "cc-by-nd"), ("cc-by-sa", "cc-by-sa"), ("cc-by", "cc-by"), ("cc0", "cc0"), ("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"),
-             ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("isc", "isc"), ("mpl", "mpl"), ("epl", "epl"), ("bsl", "bsl"), ("unlicense", "public-domain"))
+#: Identifiers that don't start with the name of their family.
+SPELLINGS = {"unlicense": "public-domain", "cc-pddc": "public-domain", "0bsd": "bsd", "python": "psf"}
+OTHER = "other"
+_NAMES = sorted([*FREEDOM, *SPELLINGS], key=len, reverse=True)
+_IDENTIFIER = re.compile(f"({'|'.join(map(re.escape, _NAMES))})(?:v?[0-9].*|[-+.].*)?", re.A)
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _TAGGED = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier[ \t]*[:=]?[ \t]*([^\r\n]*)")
 _LEXEMES = re.compile(r"[()]|[0-9a-z.+-]+", re.A)
@@ -43,7 +49,9 @@ _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
 def family(identifier: str) -> str | None:
-    return next((label for start, label in _FAMILIES if identifier.startswith(start)), None)
+    """The family of a lower-case identifier: a name, alone or with a version or suffix after it; None if it is unknown."""
+    found = _IDENTIFIER.fullmatch(identifier)
+    return found and SPELLINGS.get(found[1], found[1])
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -78,22 +86,21 @@ def postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(expression: str) -> tuple[set[str], float | None]:
-    """(labels, score) of a licence expression; the score is None if the expression is broken or has no known licence."""
-    labels = {x for x in map(family, _LEXEMES.findall(expression.lower())) if x}
+    """(labels, score) of a licence expression. Unknown licences have the label OTHER and no part in the score, which is None if the expression is broken or has no known licence."""
     order, values = postfix(expression), []
     if order is None:
-        return labels, None
+        return {x for x in map(family, _LEXEMES.findall(expression.lower())) if x}, None
     for x in order:
         if x not in _PRECEDENCE:
-            values.append(FREEDOM.get(family(x) or ""))
+            values.append(({family(x) or OTHER}, FREEDOM.get(family(x) or "")))
             continue
-        right, left = values.pop(), values.pop()
-        known = [v for v in (left, right) if v is not None]
-        if x == "with":
-            values.append(None if left is None else left if left >= 0.8 else (left + 1) / 2)
+        (more, right), (own, left) = values.pop(), values.pop()
+        if x == "with":  # what follows is an exception, no licence
+            values.append((own, None if left is None else left if left >= 0.8 else (left + 1) / 2))
         else:
-            values.append((max if x == "or" else min)(known) if known else None)
-    return labels, values[0]
+            known = [v for v in (left, right) if v is not None]
+            values.append((own | more, (max if x == "or" else min)(known) if known else None))
+    return values[0]
 
 
 @lru_cache(maxsize=1)

@@ -761,6 +761,15 @@ def test_license_expressions():
     assert got["labels"] == "gpl,mit" and got["score"] == licenses.FREEDOM["mit"] and got["n_base"] == 0
 
 
+def test_license_identifiers():
+    known = {"mit": "mit", "mit-0": "mit", "gplv2": "gpl", "gpl-2.0-or-later": "gpl", "agpl-3.0": "agpl", "bsd-3-clause": "bsd", "0bsd": "bsd", "cc-by-nc-sa-4.0": "cc-by-nc", "cc-by-4.0": "cc-by",
+             "cc0-1.0": "cc0", "unlicense": "public-domain", "python-2.0": "psf", "busl-1.1": "busl", "bsl-1.0": "bsl", "zlib": "zlib", "apache-2.0+": "apache"}
+    assert {x: licenses.family(x) for x in known} == known
+    assert [licenses.family(x) for x in ("mitre", "gplx", "iscx-1", "", "licenseref-own", "bsdl")] == [None] * 6
+    assert licenses.evaluate("LicenseRef-Own") == ({"other"}, None) and licenses.evaluate("MITRE OR MIT") == ({"other", "mit"}, 0.9)
+    assert licenses.evaluate("GPL-2.0 WITH Classpath-exception-2.0")[0] == {"gpl"} and licenses.evaluate("MIT see the Apache file")[0] == {"mit"}
+
+
 def test_license_rows(docs, empty):
     assert licenses.scan(docs).count() == len(TEXTS) + 1 and licenses.scan(empty).count() == 0
 
