@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -25,6 +26,9 @@ from cardinal.llm.columnar import map_batches, text_column
 MEMO_ENTRIES = 300_000
 #: Longer words are not kept in the memo.
 MEMO_CHARS = 40
+#: An entry of the queue is one integer: the merge rank above the position of the left symbol.
+POSITION_BITS = 40
+POSITION = (1 << POSITION_BITS) - 1
 
 # Code points that the regex module takes for letters or numbers, but the tokenizer's older Unicode tables do not.
 _NEWER = (
@@ -74,10 +78,16 @@ class BytePairCodec:
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         self.first = [vocabulary[c] for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.lefts, self.rights, self.made = [], [], []  # by rank
+        self.keys: dict[int, dict[int, int]] = {i: {} for i in vocabulary.values()}  # left, right: the rank, shifted
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocabulary[left], vocabulary[right]), (rank, vocabulary[left + right]))
+            self.lefts.append(vocabulary[left])
+            self.rights.append(vocabulary[right])
+            self.made.append(vocabulary[left + right])
+            self.keys[vocabulary[left]].setdefault(vocabulary[right], rank << POSITION_BITS)
+        self.byte_keys = [[self.keys[a].get(b) for b in self.first] for a in self.first]
+        self.packed = {i: struct.pack("<I", i) for i in vocabulary.values()}
         self.strings: dict[int, bytes] = {}
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
         for token, i in [*vocabulary.items(), *added.items()]:
@@ -91,38 +101,38 @@ class BytePairCodec:
     def _merge(self, piece: str) -> bytes:
         raw = piece.encode()
         ids = [self.first[b] for b in raw]
-        n = len(ids)
-        if n > 1:
-            merges = self.merges
-            queue = []
-            for i in range(n - 1):
-                if (found := merges.get((ids[i], ids[i + 1]))) is not None:
-                    queue.append((found[0], i, found[1]))
+        byte_keys = self.byte_keys
+        queue = [key + i for i, (a, b) in enumerate(zip(raw, raw[1:])) if (key := byte_keys[a][b]) is not None]
+        if queue:
+            keys, lefts, rights, made, n = self.keys, self.lefts, self.rights, self.made, len(ids)
             heapify(queue)
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
             while queue:
-                rank, i, merged = heappop(queue)
+                key = heappop(queue)
+                rank, i = key >> POSITION_BITS, key & POSITION
                 j = after[i]
-                if ids[i] < 0 or j >= n:
-                    continue
-                found = merges.get((ids[i], ids[j]))
-                if found is None or found[0] != rank:
+                if ids[i] != lefts[rank] or j >= n or ids[j] != rights[rank]:
                     continue  # stale: one of the two symbols has changed
+                merged = made[rank]
                 ids[i], ids[j] = merged, -1
                 k = after[i] = after[j]
                 if k < n:
                     before[k] = i
-                    if (found := merges.get((merged, ids[k]))) is not None:
-                        heappush(queue, (found[0], i, found[1]))
+                    if (key := keys[merged].get(ids[k])) is not None:
+                        heappush(queue, key + i)
                 h = before[i]
-                if h >= 0 and (found := merges.get((ids[h], merged))) is not None:
-                    heappush(queue, (found[0], h, found[1]))
-            ids = [x for x in ids if x >= 0]
-        return np.array(ids, "<u4").tobytes()
+                if h >= 0 and (key := keys[ids[h]].get(merged)) is not None:
+                    heappush(queue, key + h)
+        packed = self.packed
+        return b"".join([packed[x] for x in ids if x >= 0])
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk[chunk[0] == " " :].isalpha():
+            return self._merge(chunk)  # letters are one piece
         found = _PIECES.findall(chunk)
-        return self._merge(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+        if len(found) == 1:
+            return self._merge(chunk)
+        return b"".join([self.tails[x[1:]] if x[0] == " " and len(x) > 1 else self.pieces[x] for x in found])
 
     def _plain(self, text: str) -> bytes:
         for memo in (self.pieces, self.heads, self.tails):
