@@ -92,7 +92,7 @@ def amounts(available: np.ndarray, share: np.ndarray, wanted: float) -> np.ndarr
     whole = np.append(0.0, np.cumsum(available[order]))[:-1]
     rest = np.cumsum(share[order][::-1])[::-1]
     c = np.divide(wanted - whole, rest, out=np.full(len(share), np.inf), where=rest > 0)
-    fits = np.flatnonzero(c <= ratio[order])
+    fits = np.flatnonzero((rest > 0) & (c <= ratio[order]))
     return np.minimum(available, c[fits[0]] * share) if len(fits) else np.where(share > 0, available, 0.0)
 
 
