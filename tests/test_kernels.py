@@ -54,6 +54,16 @@ def test_cosine_conventions():
     assert K.cosine_matrix(a[:1], -a[:1])[0, 0] == 2 and K.cosine_matrix(a[:1], -a[:1], signed=False)[0, 0] == 0
 
 
+@pytest.mark.parametrize("signed", [True, False])
+def test_sums_of_distances_equal_the_matrix(signed):
+    x = np.random.default_rng(3).normal(size=(50, 4))
+    x[7] = 0
+    label = np.arange(50) % 3
+    sums, matrix = K.CosineSums(x, signed, block=350), K.cosine_matrix(x, signed=signed)
+    assert len(sums) == 50 and sums @ np.eye(3)[label] == pytest.approx(matrix @ np.eye(3)[label])
+    assert K.silhouette_mean(sums, label, 3) == pytest.approx(K.silhouette_mean(matrix, label, 3))
+
+
 def test_scores_by_hand():
     y = np.array([0, 0, 1, 1])
     assert scores(y, 1 - y) == pytest.approx((1, 1, 1))

@@ -79,6 +79,13 @@ def test_global_rank_edges(spark):
     assert [tuple(r) for r in global_rank(few, F.col("v"), F.col("w")).orderBy("rn").collect()] == [(None, "a", 1), (None, "b", 2), (1, None, 3), (1, "x", 4), (2, "a", 5)]
 
 
+def test_many_rows_without_a_matrix(spark):
+    n = 200_000  # rows x rows would be 320 GB
+    datasets = spark.range(n).selectExpr("0L AS data_id", "'set0' AS name", "id AS row_id", "array(double(id % 3 + 1), double(id % 7)) AS x", "1 + id % 2 AS y_code")
+    out = runner.run(datasets, ["HCAKC"]).first()
+    assert out["error"] is None and out["k"] == 2 and out["cardinality_pred"] == f"{n // 2} {n // 2}" and abs(out["Silhouette_mean"]) < 1e-3
+
+
 def test_menu_writes_predictions_and_a_log(spark, tmp_path):
     rows = [(0, "set0", i, [float(i % 3), float(i)], 1 + i % 2) for i in range(8)]
     datasets = spark.createDataFrame(rows, "data_id bigint, name string, row_id bigint, x array<double>, y_code bigint")
