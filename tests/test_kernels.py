@@ -83,6 +83,25 @@ def test_algorithms_meet_the_sizes(name):
     assert (label == BY_NAME[name](x, sizes)).all()
 
 
+def test_kmeans_by_hand():
+    x = np.random.default_rng(2).normal(size=(5000, 6))
+    rng = np.random.default_rng(4)
+    best, least = None, np.inf
+    for _ in range(3):
+        c, label = x[rng.choice(len(x), 4, replace=False)], None
+        for _ in range(12):
+            new = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            if label is not None and (new == label).all():
+                break
+            label, c = new, np.stack([x[new == j].mean(0) for j in range(4)])
+        cost = ((x - c[label]) ** 2).sum()
+        if cost < least:
+            best, least = label, cost
+    assert (K.kmeans(x, 4, np.random.default_rng(4), 3, 12) == best).all()
+    same = np.ones((20, 2))
+    assert (K.kmeans(same, 3, np.random.default_rng(1)) == 0).all()
+
+
 def test_searches_meet_the_sizes():
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(c, 1, (n, 3)) for c, n in ((0, 12), (5, 7))])

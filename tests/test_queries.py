@@ -86,6 +86,14 @@ def test_many_rows_without_a_matrix(spark):
     assert out["error"] is None and out["k"] == 2 and out["cardinality_pred"] == f"{n // 2} {n // 2}" and abs(out["Silhouette_mean"]) < 1e-3
 
 
+def test_restarts_without_a_matrix(spark):
+    n = 200_000
+    rows = spark.range(n).selectExpr("id AS row_id", "array(double(id % 3 + 1), double(id % 7)) AS x", "id % 2 AS y")
+    out = runner.aco_restarts(rows, ants=1, rounds=2, tasks=2)
+    assert {tuple(r) for r in out.groupBy("cluster").count().collect()} == {(1, n // 2), (2, n // 2)}
+    assert out.agg(F.countDistinct("row_id")).first()[0] == n and out.where("y != row_id % 2").count() == 0
+
+
 def test_menu_writes_predictions_and_a_log(spark, tmp_path):
     rows = [(0, "set0", i, [float(i % 3), float(i)], 1 + i % 2) for i in range(8)]
     datasets = spark.createDataFrame(rows, "data_id bigint, name string, row_id bigint, x array<double>, y_code bigint")
