@@ -227,6 +227,26 @@ def test_many_points_in_blocks(spark, data, monkeypatch):
     assert found() == expected and len(expected[0]) == 60
 
 
+def test_pairs_round_once_and_copy_no_rows(spark, tmp_path, monkeypatch):
+    near = [0.1234564999997, 0.1234565000003, 0.9999994999998, 1e-6]
+    made = [(0, [1.0, 0.0], 0), *((i + 1, [1 - d, (1 - (1 - d) ** 2) ** 0.5], 0) for i, d in enumerate(near))]
+    spark.createDataFrame(made, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = sorted(con.execute(queries.ORACLES["pairwise_cosine"]).fetchall())
+    assert [d for _, _, d in expected[:4]] == [0.123456, 0.123457, 0.999999, 0.000001]
+    assert sorted(map(tuple, queries.QUERIES["pairwise_cosine"](spark, str(tmp_path)).collect())) == expected
+    odd = spark.createDataFrame([*made, (9, [0.0, 0.0], 0), (10, None, 0), (11, [None, 1.0], 0)], "row_id bigint, x array<double>, y int")
+    monkeypatch.setattr(pairs, "BROADCAST_VALUES", 5)  # several broadcasts
+    for rows in (1, 2, 3, 100):
+        out = pairs.cosine_pairs(odd, block_rows=rows, digits=6)
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()  # no row goes out once for each block
+        found = {(r["i"], r["j"]): r["d"] for r in out.collect()}
+        assert len(found) == out.count() == 28 and sum(d is None for d in found.values()) == 18
+        assert sorted((*k, d) for k, d in found.items() if d is not None) == expected
+    assert pairs.cosine_pairs(odd.limit(0)).count() == 0
+
+
 def test_vectors_without_direction(spark):
     made = [(0, [0.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 1.0], 2), (4, [0.0, 0.0], 3)]
     rows = spark.createDataFrame(made, "row_id bigint, x array<double>, cluster bigint")
