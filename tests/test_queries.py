@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cardinal.functions import text as T
 from cardinal.functions.ranking import global_rank
+from cardinal.functions.vectors import cosine_distance
 from cardinal.operators import buckets, catalog, centroids, metrics, pairs, prepare, sampling
 from cardinal.plans import queries, runner
 from cardinal.sources import tables
@@ -247,6 +248,36 @@ def test_pairs_round_once_and_copy_no_rows(spark, tmp_path, monkeypatch):
     assert pairs.cosine_pairs(odd.limit(0)).count() == 0
 
 
+def test_pairs_go_out_in_order_of_distance(spark, tmp_path, monkeypatch):
+    import glob
+
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(3).normal(size=(700, 5))
+    x[7] = 0
+    rows = spark.createDataFrame([(i * 3 - 900, v.tolist()) for i, v in enumerate(x)], "row_id bigint, x array<double>")
+    pairs.cosine_pairs(rows, digits=3).write.option("parquet.enable.dictionary", "false").parquet(f"{tmp_path}/out")
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{tmp_path}/out/*.parquet")]
+    chunks = [f.metadata.row_group(g).column(2) for f in files for g in range(f.metadata.num_row_groups)]
+    assert sum(c.num_values for c in chunks) == 700 * 699 // 2
+    assert sum(c.total_compressed_size for c in chunks) < 2 * 700 * 699 // 2  # bytes of distances; not as they come, 8 each when they are many
+    for f in files:
+        d = f.read(["d"])["d"].to_numpy()
+        assert (np.diff(d[~np.isnan(d)]) >= 0).all()
+    small = rows.where("row_id < -630")
+    met = small.alias("a").join(small.alias("b"), F.expr("a.row_id < b.row_id"))
+    expected = sorted(map(tuple, met.select("a.row_id", "b.row_id", cosine_distance(F.col("a.x"), F.col("b.x"))).collect()), key=lambda r: r[:2])
+    for most, row_bits, met_bits in ((40, 3, 4), (200, 2, 2), (1 << 20, 4, 7)):  # sorted in many groups, blocks cut
+        monkeypatch.setattr(pairs, "SORTED_PAIRS", most)
+        monkeypatch.setattr(pairs, "ROW_BITS", row_bits)
+        monkeypatch.setattr(pairs, "MET_BITS", met_bits)
+        for size in (16, 100):
+            found = sorted(map(tuple, pairs.cosine_pairs(small, block_rows=size).collect()), key=lambda r: r[:2])
+            assert [r[:2] for r in found] == [r[:2] for r in expected] and len(found) == 90 * 89 // 2
+            assert all((r[2] is None) == (e[2] is None) and (r[2] is None or abs(r[2] - e[2]) < 1e-9) for r, e in zip(found, expected, strict=True))
+
+
 def test_vectors_without_direction(spark):
     made = [(0, [0.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 1.0], 2), (4, [0.0, 0.0], 3)]
     rows = spark.createDataFrame(made, "row_id bigint, x array<double>, cluster bigint")
